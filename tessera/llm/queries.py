@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules, secret_scan
+from . import language_id, quality_classifier, quality_rules, secret_scan, simhash
 from .common import read_table
 
 
@@ -19,6 +19,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -37,4 +42,4 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_language_id, op8_quality_rules, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash, op7_language_id, op8_quality_rules, op9_quality_classifier)}
