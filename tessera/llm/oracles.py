@@ -35,4 +35,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN shrunk ON f.source IS NOT DISTINCT FROM shrunk.source
 """
 
-ORACLES = {"op8_quality_rules": _OP8}
+_OP2 = r"""
+WITH RECURSIVE h AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), t AS (
+  SELECT sum(n) AS total, sum(pow(n::DOUBLE, 0.7)) AS w FROM h
+), r AS (
+  SELECT source, t.total::DOUBLE * (pow(n::DOUBLE, 0.7) / t.w) / n AS rate FROM h, t
+), d AS (
+  SELECT source, greatest(1, ceil(rate / 16.0))::INT AS draws, rate / greatest(1, ceil(rate / 16.0)) AS mean FROM r
+), c AS (
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM d
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM c WHERE k < 79
+), u AS (
+  SELECT doc_id, documents.source, j,
+         (CAST('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || j::VARCHAR), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM (SELECT doc_id, source, unnest(range(1, draws + 1)) AS j FROM documents JOIN d USING (source)) AS documents
+), times AS (
+  SELECT u.doc_id, count(*) AS times FROM u JOIN c ON c.source = u.source AND c.c < u.u GROUP BY u.doc_id
+)
+SELECT documents.*, replica::INT AS replica, md5('shuffle7:' || coalesce(doc_id::VARCHAR, '') || ':' || replica::VARCHAR) AS shuffle_key
+FROM documents JOIN (SELECT doc_id, unnest(range(0, times)) AS replica FROM times) USING (doc_id)
+"""
+
+_OP6 = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS good, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations
+), z AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.k, r.k) AS k, coalesce(c.role = r.role AND c.text = r.text, false) AS same
+  FROM (FROM t WHERE good) c FULL JOIN (FROM t WHERE NOT good) r ON c.pair_id = r.pair_id AND c.k = r.k
+), n AS (
+  SELECT pair_id, coalesce(min(k) FILTER (NOT same) - 1, max(k))::INT AS n_prompt FROM z GROUP BY pair_id
+), p AS (
+  SELECT t.*, n_prompt, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS said FROM t JOIN n USING (pair_id)
+), s AS (
+  SELECT *, (sum(length(said)) OVER (PARTITION BY pair_id, good ORDER BY k))::INT AS stop FROM p WHERE k > n_prompt
+), sides AS (
+  SELECT pair_id, good, string_agg(said, '' ORDER BY k) AS said,
+         string_agg((stop - length(text) - 11)::VARCHAR || '-' || stop::VARCHAR, ',' ORDER BY k) FILTER (role = 'assistant') AS mask
+  FROM s GROUP BY pair_id, good
+), prompts AS (
+  SELECT pair_id, string_agg(said, '' ORDER BY k) AS prompt FROM p WHERE good AND k <= n_prompt GROUP BY pair_id
+)
+SELECT n.pair_id, n_prompt, coalesce(prompt, '') AS prompt, coalesce(c.said, '') AS chosen, coalesce(r.said, '') AS rejected,
+       coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask, coalesce(c.mask, '') <> '' AND coalesce(r.mask, '') <> '' AS usable
+FROM n LEFT JOIN prompts USING (pair_id)
+LEFT JOIN sides c ON c.pair_id = n.pair_id AND c.good LEFT JOIN sides r ON r.pair_id = n.pair_id AND NOT r.good
+"""
+
+ORACLES = {"op2_source_mix": _OP2, "op6_preference_chat": _OP6, "op8_quality_rules": _OP8}

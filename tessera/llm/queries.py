@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules, secret_scan, simhash
+from . import language_id, preference_chat, quality_classifier, quality_rules, secret_scan, simhash, source_mix
 from .common import read_table
 
 
@@ -19,11 +19,23 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preference_chat.pair_by_id(read_table(spark, sf_dir, "conversations"))
+    said = lambda mask: F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(mask)
+    return preference_chat.format_preferences(turns).select(
+        "pair_id", "n_prompt", "prompt", "chosen", "rejected", said("chosen_mask"), said("rejected_mask"), "usable"
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -42,4 +54,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash, op7_language_id, op8_quality_rules, op9_quality_classifier)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_source_mix, op3_simhash, op6_preference_chat, op7_language_id, op8_quality_rules, op9_quality_classifier,
+    )
+}
