@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, preference_chat, quality_classifier, quality_rules, secret_scan, simhash, source_mix
+from . import decontaminate, language_id, license_scan, preference_chat, quality_classifier, quality_rules, secret_scan, simhash, source_mix
 from .common import read_table
 
 
@@ -28,6 +28,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id", "l.edits", F.col("l.start").alias("start_word"), F.col("l.end").alias("end_word"))
+
+
 def op6_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = preference_chat.pair_by_id(read_table(spark, sf_dir, "conversations"))
     said = lambda mask: F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(mask)
@@ -54,9 +60,20 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"]))), ",")
+    at = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"])), ",")
+    return found.select(
+        "doc_id", F.size("licenses").cast("bigint").alias("n_notices"),
+        F.size(F.filter("licenses", lambda x: x["confirmed"])).cast("bigint").alias("n_confirmed"), families.alias("families"), at.alias("notices"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_source_mix, op3_simhash, op6_preference_chat, op7_language_id, op8_quality_rules, op9_quality_classifier,
+        op1_secret_scan, op2_source_mix, op3_simhash, op5_decontaminate, op6_preference_chat, op7_language_id, op8_quality_rules,
+        op9_quality_classifier, op10_license_scan,
     )
 }
