@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, preference_chat, quality_classifier, quality_rules, secret_scan, simhash, source_mix
+from . import decontaminate, language_id, license_scan, maxent_lm, preference_chat, quality_classifier, quality_rules, secret_scan, simhash, source_mix
 from .common import read_table
 
 
@@ -28,6 +28,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
@@ -73,7 +77,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_source_mix, op3_simhash, op5_decontaminate, op6_preference_chat, op7_language_id, op8_quality_rules,
+        op1_secret_scan, op2_source_mix, op3_simhash, op4_maxent_lm, op5_decontaminate, op6_preference_chat, op7_language_id, op8_quality_rules,
         op9_quality_classifier, op10_license_scan,
     )
 }
