@@ -3,22 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality_classifier
-from tessera.llm.common import read_table
+from tessera.llm import decontaminate, quality_classifier, secret_scan, simhash, source_mix
+from tessera.llm.common import free_name, read_table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_classifier.score_quality(docs, read_table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier rejects go."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_classifier.score_quality(docs, labels).where("predicted = 1").select(*docs.columns)
 
 
-STAGES = [("quality classifier", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts with a similarity of 0.8 (shingles of five words) the document of the smallest id stays."""
+    return simhash.drop_similar(docs, similarity=0.8).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = free_name(docs, "leaks")
+    return decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark"), into=found).where(F.size(found) == 0).select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text is replaced by a mark, and ``n_chars`` follows; all documents stay."""
+    spans = free_name(docs, "secrets")
+    clean = secret_scan.redact(secret_scan.scan_secrets(docs, into=spans), spans=spans)
+    changed = F.size(spans) > 0
+    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated to their source's target rate and shuffled globally."""
+    return source_mix.mix_sources(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-duplicates", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scan", secret_stage),
+    ("source mixing", mixing_stage),
+]
+
+#: The classifier and the fingerprints are beyond SQL; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs

@@ -12,6 +12,7 @@ Conventions that hold for every operator here, unless its docstring says more:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -92,13 +93,12 @@ def with_struct(df: DataFrame, made: Column, fields: list[str]) -> DataFrame:
     return df.withColumn(tmp, made).select(*keep, *[F.col(tmp)[f].alias(f) for f in fields])
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through a folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one is set here only
-    where the session has none, as in local tests.
+    It is the cluster's ``spark.checkpoint.dir``; one is set here only where the
+    session has none, as in local tests.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         told = sc.getConf().get("spark.checkpoint.dir")
@@ -109,8 +109,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
             told = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(told)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
