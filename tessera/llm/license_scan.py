@@ -204,10 +204,18 @@ def scan_paragraphs(model: Model, texts: list[bytes]) -> list[list[dict]]:
 
 
 def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Fits with paragraphs of a bounded sample of documents (those of the smallest hashes) as class none."""
-    none = docs.where(~F.lower(F.col(f"`{text}`")).rlike("licen[cs]e|copyright|permission"))
-    chosen = none.select(F.xxhash64(doc_id, text).alias("h"), F.col(f"`{text}`").alias("t")).orderBy("h", "t").limit(NONE_DOCS)
-    lines = chosen.select(F.explode(F.split("t", "\n")).alias("p")).where(F.trim("p") != "").orderBy(F.xxhash64("p"), "p").limit(NONE_ROWS)
+    """Fits with paragraphs of a bounded sample of documents (those whose ids hash lowest) as class none.
+
+    Only the ids are read to choose the documents; paragraphs that speak of
+    licences, copyright or permission aren't taken.
+    """
+    h = F.xxhash64(doc_id)
+    last = docs.select(h.alias("h")).orderBy("h").limit(NONE_DOCS).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit([])
+    lines = docs.where(h <= last).select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("p"))
+    lines = lines.where((F.trim("p") != "") & ~F.lower("p").rlike("licen[cs]e|copyright|permission"))
+    lines = lines.orderBy(F.xxhash64("p"), "p").limit(NONE_ROWS)
     return fit([r["p"].encode() for r in lines.collect()])  # at most NONE_ROWS paragraphs
 
 
