@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ class Vocabulary:
     counts: np.ndarray
     tokens: int  # training tokens, ends included
     size: int  # distinct ones, the end included
+    least: int = 1 << 62  # every word of this count or more has an id
 
     @property
     def base_log(self) -> float:
@@ -133,23 +135,32 @@ def _softmax(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.
     for r in rows[1:]:
         z += table.take(r, axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    np.minimum(z, 80, out=z)  # the logits are small; a bound keeps the exponential finite
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= np.einsum("ij->i", z)[:, None]
     return z
 
 
+def _chosen(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """log of the softmax at one column a row."""
+    z = table.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += table.take(r, axis=0)
+    z += bias
+    np.minimum(z, 80, out=z)
+    own = z[np.arange(len(which)), which]
+    return own - np.log(np.einsum("ij->i", np.exp(z, out=z)))
+
+
 def log_probability(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 of the model's probability of every token's symbol."""
     out = np.empty(len(ids), np.float32)
     cls, member, rows, places = features(ids, first)
     for a in range(0, len(ids), BATCH):
         s = slice(a, a + BATCH)
-        n = np.arange(len(cls[s]))
-        p = _softmax(model.class_rows, [r[s] for r in rows], model.class_bias)[n, cls[s]]
-        q = _softmax(model.member_rows, [r[s] for r in places], model.member_bias[cls[s]])[n, member[s]]
-        out[s] = np.log10(np.maximum(p * q, 1e-30))
-    return out
+        out[s] = _chosen(model.class_rows, [r[s] for r in rows], model.class_bias, cls[s])
+        out[s] += _chosen(model.member_rows, [r[s] for r in places], model.member_bias[cls[s]], member[s])
+    return out / np.float32(np.log(10))
 
 
 def _descend(table: np.ndarray, power: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
@@ -186,17 +197,17 @@ def learn(model: Model, state: tuple[np.ndarray, np.ndarray], ids: np.ndarray, f
             _descend(model.member_rows, state[1], r[s], columns)
 
 
-def _ids(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ids of all tokens (each text's end included), marks of the first ones, the numbers of tokens, and the words."""
+def _ids(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Ids of all tokens (each text's end included), marks of the first ones, the numbers of tokens, and all words."""
     words = [t.lower().split() for t in texts]
     sizes = np.array([len(w) + 1 for w in words], np.int64)
+    words = list(chain.from_iterable(words))
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    get = known.get
     flat = np.empty(total, np.int32)
     body = np.ones(total, bool)
     body[ends - 1] = False
-    flat[body] = np.fromiter((get(w, OTHER) for ws in words for w in ws), np.int32, total - len(texts))
+    flat[body] = np.fromiter(map(known.get, words, repeat(OTHER)), np.int32, len(words))
     flat[~body] = END
     first = np.zeros(total, bool)
     first[ends - sizes] = True
@@ -233,9 +244,16 @@ def count_words(training: DataFrame, text: str = "text") -> DataFrame:
 def build_vocabulary(counted: DataFrame, documents: int) -> Vocabulary:
     """From the written-down counts: the totals, and the most frequent words (at most ``CONTEXT_WORDS`` rows reach the driver)."""
     tokens, size = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counted.orderBy(F.desc("c"), "word").limit(CONTEXT_WORDS).collect()
+    # at most some hundred steps of counts, of which as many are taken from the top as have room
+    steps = counted.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()
+    room, least = CONTEXT_WORDS, 1 << 62
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["least"]
+    top = sorted(counted.where(F.col("c") >= least).select("word", "c").collect(), key=lambda r: (-r["c"], r["word"]))
     counts = np.array([0, documents] + [r["c"] for r in top], np.int64)
-    return Vocabulary({bytes(r["word"]): k + 2 for k, r in enumerate(top)}, counts, tokens + documents, size + (documents > 0))
+    return Vocabulary({bytes(r["word"]): k + 2 for k, r in enumerate(top)}, counts, tokens + documents, size + (documents > 0), least)
 
 
 def _train_task(batches, shared=None, start=None):
@@ -302,15 +320,13 @@ def _score_task(batches, shared=None, weights=None):
             other = (ids == OTHER) | (ids >= CLASSES * MEMBERS)
             said += np.where(other, base, 0.0)
             known = (ids != OTHER) & (counts[ids] > 0)
-            rare, k = [], 0
-            is_rare = ids == OTHER
-            for ws, size in zip(words, sizes):
-                rare.append([word_key(ws[j]) for j in np.flatnonzero(is_rare[k : k + size - 1])])
-                k += int(size)
+            rare = [words[j] for j in np.flatnonzero(ids[ids != END] == OTHER).tolist()]  # ends aside, ids and words run in step
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, rare), np.uint64, len(rare)).view(np.int64)
+            bounds = np.concatenate([[0], np.cumsum(total((ids == OTHER).astype(np.int64)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(sizes), pa.array(total(known.astype(np.int64))),
-                    pa.array(total(base)), pa.array(total(said)), pa.array(total(other.astype(np.int64))), pa.array(rare, pa.list_(pa.int64())),
+                    pa.array(total(base)), pa.array(total(said)), pa.array(total(other.astype(np.int64))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)),
                 ],
                 ["doc_id", "held_out", "n_tokens", "known", "base", "said", "others", "rare"],
             )
@@ -334,8 +350,7 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     scored = marked.mapInArrow(partial(_score_task, shared=shared, weights=weights), schema)
     scored = checkpoint(scored.withColumn("row", F.monotonically_increasing_id()))  # written down, so the row numbers hold
 
-    least = int(vocabulary.counts[-1]) if len(vocabulary.counts) >= CONTEXT_WORDS + 2 else 1 << 62
-    tail = counted.where(F.col("c") <= least).select("key", "c")  # every word that isn't broadcast is among these
+    tail = counted.where(F.col("c") < vocabulary.least).select("key", "c")  # all words without an id
     tokens = scored.select("row", F.explode("rare").alias("key"))
     met = tokens.join(tail, "key").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_log"), F.count(F.lit(1)).alias("rare_known"))
     done = scored.drop("rare").join(met, "row", "left")
