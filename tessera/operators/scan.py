@@ -506,11 +506,45 @@ def run_scan(
 
 
 def scan_status(status: Column, abort_reason: Column, approved_cap: Column, under_review: Column | None = None, busy: Column | None = None) -> Column:
-    """How a scan shows: a running one under review, at work or interrupted; an aborted one that was declined; else its status."""
+    """How a scan shows: a running one under review, at work or interrupted; an aborted one whose deletions were declined (a cap of 0); else its status."""
     review = under_review if under_review is not None else F.lit(False)
     working = busy if busy is not None else F.lit(False)
-    soft = F.forall(F.split(abort_reason, ","), lambda r: r.isin("count_ratio", "missing_ratio", "approval_missing_limit"))
+    reasons = F.split(abort_reason, ",")
+    soft = F.array_contains(reasons, "approval_missing_limit") & F.forall(reasons, lambda r: r.isin("count_ratio", "missing_ratio", "approval_missing_limit"))
     return (
         F.when((status == "running") & review, "review").when((status == "running") & working, "scanning").when(status == "running", "interrupted")
         .when((status == "aborted_safety") & (approved_cap == 0) & soft, "declined").otherwise(status)
     )
+
+
+# --- many scans at once ------------------------------------------------------------------
+
+
+def seen_intervals(seen: DataFrame) -> DataFrame:
+    """``seen`` (scan_ord, document_id) as (seen_at, next_at, n): how many documents are seen at one scan and next at another (null: never)."""
+    w = Window.partitionBy("document_id").orderBy("scan_ord")
+    once = seen.select("document_id", "scan_ord").distinct()
+    return once.select(F.col("scan_ord").alias("seen_at"), F.lead("scan_ord").over(w).alias("next_at")).groupBy("seen_at", "next_at").agg(F.count(F.lit(1)).alias("n"))
+
+
+def chain_verdicts(seen: DataFrame, *, count_bp: int = COUNT_RATIO_BP, missing_bp: int = MISSING_RATIO_BP) -> list[dict[str, Any]]:
+    """The valve's verdict on every scan of a source in turn, each on the state its predecessors left.
+
+    A document is missing at scan k if it was seen at or after the last
+    completed scan, and not again until after k: what wasn't seen by a completed
+    scan is tombstoned by it. So the verdicts need the documents only as a table
+    of intervals, whose size depends on the scans alone; that table comes to the
+    driver, where the chain is followed.
+    """
+    rows = [(r["seen_at"], r["next_at"], r["n"]) for r in seen_intervals(seen).collect()]
+    ords = sorted({r[0] for r in rows})
+    out, base, previous = [], None, 0
+    for k in ords:
+        distinct = sum(n for p, _, n in rows if p == k)
+        missing = sum(n for p, x, n in rows if p < k and (x is None or x > k) and (base is None or p >= base))
+        scan = Scan(str(k), "", 0, k, count_bp, missing_bp, previous_distinct_count=previous)
+        verdict = safety_valve(scan, distinct, missing)
+        out.append({"scan_ord": k, "distinct_count": distinct, "missing": missing, "baseline": base, "status": "completed" if verdict.passes else "aborted_safety", "reasons": ",".join(verdict.reasons)})
+        if verdict.passes:
+            base, previous = k, distinct
+    return out

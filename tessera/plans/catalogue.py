@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import audits, lineage
+
+QUERIES = {**lineage.QUERIES, **audits.QUERIES}
+ORACLES = {**lineage.ORACLES, **audits.ORACLES}

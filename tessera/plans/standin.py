@@ -68,7 +68,7 @@ def definitions(d) -> dict[str, str]:
              enumerated_count, distinct_count, CASE WHEN day % 11 = 0 THEN 1 ELSE 0 END AS write_failure_count, CASE WHEN day % 13 = 0 THEN 1 ELSE 0 END AS unlistable_subtree_count,
              CASE WHEN status = 'completed' THEN day END AS completion_seq,
              CASE WHEN status = 'completed' THEN CASE WHEN day % 4 = 0 THEN 'pending' ELSE 'applied' END END AS deletion_state,
-             CASE WHEN status = 'aborted_safety' THEN CASE WHEN day % 2 = 0 THEN 'count_ratio,missing_ratio' ELSE 'missing_ratio' END END AS abort_reason,
+             CASE WHEN status = 'aborted_safety' THEN CASE WHEN day % 3 = 0 THEN 'approval_missing_limit,missing_ratio' WHEN day % 2 = 0 THEN 'count_ratio,missing_ratio' ELSE 'missing_ratio' END END AS abort_reason,
              CASE WHEN status = 'aborted_safety' AND day % 3 = 0 THEN 0 END AS approved_max_missing_count
       FROM (SELECT *, CASE WHEN day >= 29 THEN 'running' WHEN (day + shift) % 5 = 0 THEN 'aborted_safety' WHEN (day + shift) % 5 = 1 THEN 'failed' ELSE 'completed' END AS status
             FROM (SELECT concat('src', {text('user_id % 20')}) AS source_id, user_id % 20 AS shift, {d.day('ts')} AS day, min({d.ms('ts')}) AS started_at,
@@ -147,5 +147,7 @@ class Tables:
 
 
 def with_tables(sql: str, *names: str) -> str:
-    """DuckDB SQL over the stand-in tables ``names``."""
-    return "WITH " + ", ".join(f"{n} AS ({_DUCK[n]})" for n in names) + "\n" + sql
+    """DuckDB SQL over the stand-in tables ``names``; ``sql`` may begin with a WITH of its own."""
+    own = sql.lstrip()
+    more = ", " + own[len("WITH ") :] if own.startswith("WITH ") else "\n" + own
+    return "WITH " + ", ".join(f"{n} AS ({_DUCK[n]})" for n in names) + more
