@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space that search folding joins.
-FOLD_SPACE = "\u0009-\u000d    -     　﻿"
+FOLD_SPACE = "\u0009-\u000d\u0020\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _FOLD = re.compile(f"[{FOLD_SPACE}]+")
-_JS_TRIM = "\t\n\x0b\x0c\r                  　﻿"
+_JS_TRIM = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _c(x: Column | str) -> Column:

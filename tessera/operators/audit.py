@@ -199,7 +199,9 @@ def duplicate_content_hash_for_document(t: Tables) -> DataFrame:
 
 
 def failed_acl_fetch_recorded_as_synced(t: Tables) -> DataFrame:
-    return _found(t["access_control"].where("state = 'synced' AND principals = '[]' AND last_error IS NOT NULL"), "document_id", "tenant_id")
+    rows = t["access_control"].where("state = 'synced' AND last_error IS NOT NULL")
+    empty = F.size("principals") == 0 if dict(rows.dtypes)["principals"].startswith("array") else F.col("principals") == "[]"
+    return _found(rows.where(empty), "document_id", "tenant_id")
 
 
 def multiple_running_scans_for_source(t: Tables) -> DataFrame:
@@ -379,6 +381,10 @@ def check_invariants(
         pairs = [(r.__name__, lambda r=r: r(t)) for r in rules]
         if name == "SINGLE_ACTIVE_VERSION" and known_sources is not None:
             pairs.append(("active_document_in_orphaned_source", lambda: active_document_in_orphaned_source(t, known_sources)))
+        if name == "LINEAGE_COMPLETE":
+            from .normalize import normalization_findings
+
+            pairs.append(("normalized_input_or_correspondence_invalid", lambda: normalization_findings(t)))
         if name == "HASH_MATCHES_BLOB" and "blob" in t:
             pairs += [("version_blob_hash_mismatch", lambda: version_blob_hash_mismatch(t)), ("artifact_blob_hash_mismatch", lambda: artifact_blob_hash_mismatch(t))]
 
