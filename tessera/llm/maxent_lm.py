@@ -32,7 +32,7 @@ from .common import checkpoint, chunks, crc_mod, text_bytes
 CONTEXT_WORDS = 1 << 17
 CLASSES, MEMBERS = 32, 32
 CLASS_ROWS, MEMBER_ROWS = 1 << 15, 1 << 14
-ROUNDS, BATCH, RATE = 2, 1 << 14, 0.12
+ROUNDS, BATCH, RATE = 2, 1 << 12, 0.12
 #: Words counted in a task before it hands on its counts.
 COUNTED = 400_000
 HELD_OUT_OF, HELD_OUT = 7, 2
