@@ -53,7 +53,9 @@ FAMILIES = (NONE, *sorted({f for f, _ in TEMPLATES}))
 BUCKETS = 1 << 14
 #: Variants of each template in the fit and in the calibration, and the paragraphs of the corpus for class none (a bounded sample).
 VARIANTS, CALIBRATION, NONE_DOCS, NONE_ROWS = 40, 12, 300, 3_000
-EPOCHS, STEP, DECAY = 14, 0.5, 1e-4
+#: Paragraphs of class none made of the templates' own words.
+SHUFFLED = 1_200
+EPOCHS, STEP, DECAY = 30, 4.0, 1e-4
 #: Share of true families that the unknown class may take in the calibration.
 MISSED = 0.02
 #: A confirmed paragraph holds this share of a template's words, in order.
@@ -96,6 +98,19 @@ def variants(n: int, seed: int, prose: list[list[bytes]]) -> list[tuple[int, lis
     return out
 
 
+def shuffled(n: int, seed: int, prose: list[list[bytes]]) -> list[tuple[int, list[bytes]]]:
+    """Class none though their words are the templates': a few of them out of order, among prose."""
+    rng = random.Random(seed)
+    pool = [w for _, t in TEMPLATES for w in tokens(t.encode())]
+    filler = [w for p in prose[:200] for w in p] or [b"x"]
+    out = []
+    for _ in range(n):
+        words = [rng.choice(pool) for _ in range(rng.randint(2, 12))] + [rng.choice(filler) for _ in range(rng.randint(0, 8))]
+        rng.shuffle(words)
+        out.append((0, words))
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # BUCKETS + 1 by classes; the last row is the intercept
@@ -120,8 +135,8 @@ class Model:
 def fit(prose: Iterable[bytes], seed: int = 5) -> Model:
     """Trains on template variants and on paragraphs of class none."""
     none = [w for w in map(tokens, prose) if w]
-    train = variants(VARIANTS, seed, none) + [(0, w) for w in none[::2]]
-    held = variants(CALIBRATION, seed + 1, none[1::2]) + [(0, w) for w in none[1::2]]
+    train = variants(VARIANTS, seed, none) + shuffled(SHUFFLED, seed, none) + [(0, w) for w in none[::2]]
+    held = variants(CALIBRATION, seed + 1, none[1::2]) + shuffled(SHUFFLED // 4, seed + 1, none) + [(0, w) for w in none[1::2]]
     classes = len(FAMILIES)
     weights = np.zeros((BUCKETS + 1, classes))
     rng = np.random.default_rng(seed)
