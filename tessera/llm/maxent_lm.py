@@ -273,7 +273,7 @@ def _train_task(batches, shared=None, start=None):
 
 
 #: Weights are averaged in pieces of this many, each by one task.
-PIECE = 1 << 16
+PIECE = 1 << 12
 
 
 def _average(batches):
