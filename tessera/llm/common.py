@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in runs of about this many bytes.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def text_bytes(texts: pa.Array) -> list[bytes]:
