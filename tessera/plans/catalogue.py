@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, lineage
+from . import audits, lineage, packages
 
-QUERIES = {**lineage.QUERIES, **audits.QUERIES}
-ORACLES = {**lineage.ORACLES, **audits.ORACLES}
+QUERIES = {**lineage.QUERIES, **packages.QUERIES, **audits.QUERIES}
+ORACLES = {**lineage.ORACLES, **packages.ORACLES, **audits.ORACLES}
