@@ -1,8 +1,9 @@
 """The engine over one store: sources, scans, parsing, audit, views and backup.
 
 Each command works on a pinned version and publishes its result as the next
-one. A scan publishes three times, as its effects are meant to outlast what
-follows them: the ingested entries, the verdict, and the deletions.
+one. A scan publishes at each step whose effects are meant to outlast what
+follows: that it runs, the ingested entries, the verdict, and the deletions.
+Another writer's version in between is a conflict, and the later one stops.
 """
 
 from __future__ import annotations
@@ -85,16 +86,19 @@ class Engine:
         for column, kind in (("mime_type", "string"),):
             if column not in items.columns:
                 items = items.withColumn(column, F.lit(None).cast(kind))
-        before = {n: s[n] for n in ("source", "document", "document_version", "observation", "rename_candidate")}
-        state = scan.State(**before, scans=self._scans(s))
-        now, scan_id = self.clock(), self.new_id()
-        try:
-            report = scan.run_scan(state, source_id, items, scan_id=scan_id, now_ms=now, keep=self._keep, review=review, interrupted=interrupted, **thresholds)
-        except Exception:
-            self.store.publish(s, {n: getattr(state, n) for n in before if getattr(state, n) is not before[n]}, self._control(s, state.scans))
-            raise
-        self.store.publish(s, {n: getattr(state, n) for n in before if getattr(state, n) is not before[n]}, self._control(s, state.scans))
-        return report
+        names = ("source", "document", "document_version", "observation", "rename_candidate")
+        current, last = s, {n: s[n] for n in names}
+        state = scan.State(**last, scans=self._scans(s))
+
+        def step() -> None:
+            nonlocal current
+            changed = {n: getattr(state, n) for n in names if getattr(state, n) is not last[n]}
+            current = self.store.publish(current, changed, self._control(current, state.scans))
+            for n in changed:
+                last[n] = current[n]
+                setattr(state, n, last[n])
+
+        return scan.run_scan(state, source_id, items, scan_id=self.new_id(), now_ms=self.clock(), keep=self._keep, review=review, interrupted=interrupted, step=step, **thresholds)
 
     def fail_scan(self, scan_id: str, reason: str) -> None:
         s = self.snapshot()

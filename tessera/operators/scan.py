@@ -461,29 +461,35 @@ def apply_deletions(state: State, scan: Scan, now_ms: int, keep: Callable[[DataF
 
 def run_scan(
     state: State, source_id: str, items: DataFrame, *, scan_id: str, now_ms: int, keep: Callable[[DataFrame], DataFrame], count_bp: int = COUNT_RATIO_BP, missing_bp: int = MISSING_RATIO_BP,
-    write_failures: int = 0, interrupted: str | None = None, review: Callable[[Scan, int], tuple[str, int] | None] | None = None,
+    write_failures: int = 0, interrupted: str | None = None, review: Callable[[Scan, int], tuple[str, int] | None] | None = None, step: Callable[[], None] = lambda: None,
 ) -> Report:
     """One scan of a source, from recovery to deletions.
 
     ``interrupted`` names a running scan to be closed first; a deletion that was
     left pending is resumed; then the scan begins, its items are ingested,
     ``review`` may approve it (a note and a cap of missing documents), and the
-    valve decides. ``keep`` writes a DataFrame down and reads it again.
+    valve decides. ``keep`` writes a DataFrame down and reads it again; ``step``
+    is called whenever the state is one that should outlast what follows: once the
+    scan runs, after the ingestion, the verdict and the deletions, and on failure.
     """
     if interrupted is not None:
         state.scans = fail_scan(state.scans, interrupted, "interrupted", now_ms)
     resumed = 0
     if (pending := find_pending_deletion(state.scans, source_id)) and (ready := promote(state.scans, pending)):
         resumed = apply_deletions(state, ready, now_ms, keep)
+        step()
     known = [r["source_id"] for r in state.source.where(F.col("source_id") == source_id).select("source_id").collect()]
     state.scans, scan = begin_scan(state.scans, source_id, scan_id, now_ms, count_bp=count_bp, missing_bp=missing_bp, sources=known)
+    step()
     try:
         counts = ingest(state, scan, items, now_ms, keep)
         state.scans = _put(state.scans, replace(scan, unlistable_subtree_count=counts["unlistable"]))
+        step()
         if review is not None and (said := review(_one(state.scans, scan_id), count_missing(state.document, scan))):
             state.scans = approve_scan(state.scans, scan_id, *said, now_ms)
     except Exception as error:
         state.scans = fail_scan(state.scans, scan_id, errors.kind_of(error), now_ms)
+        step()
         raise
     verdict = finish_scan(state, scan_id, counts["enumerated"], counts["distinct"], now_ms, write_failures)
     told = None
@@ -496,9 +502,11 @@ def run_scan(
 
         row = state.document.sparkSession.createDataFrame([(0, 0, told[0], None, None, json.dumps(told[1]))], "enum_seq bigint, slot int, kind string, document_id string, version_id string, detail string")
         _append(state, row, scan_id, now_ms, keep)
+    step()
     deleted = 0
     if ready := promote(state.scans, scan_id):
         deleted = apply_deletions(state, ready, now_ms, keep)
+        step()
     return Report(_one(state.scans, scan_id), verdict, counts, deleted, resumed)
 
 

@@ -290,6 +290,39 @@ def test_engine(spark, tree, tmp_path):
     assert (tmp_path / "copy" / "COMPLETE.json").exists()
 
 
+def test_interrupted_and_failed_scans(spark, tmp_path):
+    n = itertools.count(1)
+    e = Engine(spark, str(tmp_path / "data"), clock=lambda: next(n), new_id=lambda: f"scan{next(n)}")
+    root = tmp_path / "in"
+    root.mkdir()
+    for k in range(3):
+        (root / f"f{k}").write_text(str(k))
+    source = e.register(str(root))
+
+    def stop(scan, missing):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        e.scan(source, review=stop)
+    left = e.snapshot()
+    running = [s for s in left.control["scans"] if s["status"] == "running"]
+    assert len(running) == 1 and left["document"].count() == 3  # what was ingested stays
+    with pytest.raises(errors.ConcurrentScanError):
+        e.scan(source)
+
+    def fail(scan, missing):
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        e.scan(source, interrupted=running[0]["scan_id"], review=fail)
+    assert [s["status"] for s in e.snapshot().control["scans"]] == ["failed", "failed"]
+    assert e.scan(source).scan.status == "completed" and e.scan(source).scan.previous_distinct_count == 3
+    other = e.snapshot()
+    e.scan(source)  # from now on the store refuses a writer whose base is older
+    with pytest.raises(errors.ManifestConflictError):
+        e.store.publish(other, {})
+
+
 # --- streams -----------------------------------------------------------------------------
 
 
