@@ -215,7 +215,7 @@ def _ids(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.nd
 
 
 def count_words(training: DataFrame, text: str = "text") -> DataFrame:
-    """(key, word, c) of every distinct word of the training texts; word is null for all but one row a key."""
+    """(key, word, c) of every distinct word of the training texts."""
 
     def count(batches):
         from collections import Counter
@@ -238,7 +238,7 @@ def count_words(training: DataFrame, text: str = "text") -> DataFrame:
         yield hand_on()
 
     parts = training.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, "key bigint, word binary, c bigint")
-    return parts.groupBy("key").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
+    return parts.groupBy("key", "word").agg(F.sum("c").alias("c"))
 
 
 def build_vocabulary(counted: DataFrame, documents: int) -> Vocabulary:
