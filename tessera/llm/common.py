@@ -21,7 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in runs of about this many bytes.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 4 << 20
+#: Arrow batches of this size bound what a task holds beside its results, in the JVM and in Python.
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
+
+
+def small_batches(spark: SparkSession | None) -> None:
+    """Lowers the session's bound of Arrow batches, unless someone has set it: long texts would fill 64 MB in every task."""
+    if spark is not None and spark.conf.get(BATCH_CONF).lower().rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
 
 def text_bytes(texts: pa.Array) -> list[bytes]:
@@ -53,6 +61,7 @@ def text_udf(fn: Callable[[pa.Array], dict[str, pa.Array]], schema: dict[str, st
     for a filter and a projection over the same column.
     """
     names = list(schema)
+    small_batches(SparkSession.getActiveSession())
 
     def run(texts: pa.Array) -> pa.Array:
         parts = []

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_strs, text_udf, with_struct
+from .common import crc_mod, small_batches, text_strs, text_udf, with_struct
 
 DIMENSIONS = 1024
 #: Texts whose trigram counts are multiplied at once.
@@ -110,6 +110,7 @@ def prototypes(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> di
             {"lang": pa.array(list(sums), pa.string()), "v": pa.array([np.rint(v).astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))}
         )
 
+    small_batches(docs.sparkSession)
     parts = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("l"), F.col(f"`{text}`").alias("t"))
     sums = parts.mapInArrow(bundle, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x"))
     got: dict[str, np.ndarray] = {}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, crc_mod, text_bytes
+from .common import checkpoint, chunks, crc_mod, small_batches, text_bytes
 
 #: Words with an id of their own, which contexts see; a fixed bound of what is broadcast.
 CONTEXT_WORDS = 1 << 17
@@ -340,6 +340,7 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     teach each). With nothing to train on (an empty table, or only held-out
     documents) counts are zero and the model is uniform over its symbols.
     """
+    small_batches(docs.sparkSession)
     marked = docs.select(F.col(doc_id).alias("doc_id"), (crc_mod(doc_id, HELD_OUT_OF) == HELD_OUT).alias("held_out"), F.col(f"`{text}`").alias("text"))
     training = marked.where(~F.col("held_out"))
     counted = checkpoint(count_words(training))
