@@ -198,22 +198,35 @@ def excel_date(value: Column | str, value_type: Column | str, number_format: Col
     means minutes where the format has hours or seconds, else months. Serial 0 of the
     1900 system is a time without a date, and a time of zero beside a date isn't shown.
     """
-    named = F.regexp_extract(_c(number_format), f"^{BUILTIN_NAME} ([0-9]+)", 1).try_cast("int")
-    bare = F.regexp_replace(F.coalesce(_c(number_format), F.lit("")), r"\[[^\]]*\]|\"[^\"]*\"|\.", "")
-    dated = named.between(27, 36) | named.between(50, 58)
-    clock = F.when(named.isNotNull(), dated).otherwise(bare.rlike("(?i)[hs]"))
-    calendar = F.when(named.isNotNull(), dated).otherwise(bare.rlike("(?i)[yd]") | (bare.rlike("(?i)m") & ~bare.rlike("(?i)[hs]")))
-    serial = _c(value).try_cast("double")
-    rounded = F.floor((serial - F.floor(serial)) * 86400 + 0.5)
-    day = (F.floor(serial) + F.floor(rounded / 86400)).cast("int")
-    seconds = (rounded % 86400).cast("int")
     late = _c(date_system) == "1904"
-    show_date = calendar & (day >= F.when(late, 0).otherwise(1))
-    show_time = clock & ((seconds != 0) | ~show_date)
-    at = lambda epoch: F.date_format(F.date_add(F.lit(epoch).cast("date"), day), "yyyy-MM-dd")
-    date = F.when(late, at("1904-01-01")).when(day == 60, F.lit(ONLY_IN_EXCEL)).when(day < 60, at("1899-12-31")).otherwise(at("1899-12-30"))
+    fine = _c(value_type) == "n"
+    serial = _c(value).try_cast("double")
     two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
-    time = F.concat_ws(":", two(F.floor(seconds / 3600)), two(F.floor(seconds / 60) % 60), two(seconds % 60))
-    shown = F.when(show_date & show_time, F.concat_ws(" ", date, time)).when(show_date, date).when(show_time, time).otherwise("")
-    fine = (_c(value_type) == "n") & serial.isNotNull() & ~F.isnan(serial) & (serial >= 0) & (serial <= LAST_SERIAL)
-    return F.when(fine, shown).otherwise("")
+
+    raw = F.coalesce(_c(number_format), F.lit(""))
+    named = F.regexp_extract(raw, f"^{BUILTIN_NAME} ([0-9]+)", 1).try_cast("int")
+    bare = F.regexp_replace(raw, r"\[[^\]]*\]|\"[^\"]*\"|\.", "")
+
+    # Each step's values are computed once and bound as an array's one element; written out, the expression would repeat them dozens of times.
+    def read(f):
+        dated = F.coalesce(f["named"].between(27, 36) | f["named"].between(50, 58), F.lit(False))
+        times, days, months = (f["bare"].rlike(f"(?i)[{x}]") for x in ("hs", "yd", "m"))
+        free = f["named"].isNull()
+        return F.struct((dated | (free & times)).alias("clock"), (dated | (free & (days | (months & ~times)))).alias("calendar"), f["late"].alias("late"), f["serial"].alias("serial"))
+
+    def split(p):
+        rounded = F.floor((p["serial"] - F.floor(p["serial"])) * 86400 + 0.5)
+        day = (F.floor(p["serial"]) + F.floor(rounded / 86400)).cast("int")
+        return F.struct(p["calendar"].alias("calendar"), p["clock"].alias("clock"), p["late"].alias("late"), day.alias("day"), (rounded % 86400).cast("int").alias("seconds"))
+
+    def show(q):
+        at = lambda epoch: F.date_format(F.date_add(F.lit(epoch).cast("date"), q["day"]), "yyyy-MM-dd")
+        date = F.when(q["late"], at("1904-01-01")).when(q["day"] == 60, F.lit(ONLY_IN_EXCEL)).when(q["day"] < 60, at("1899-12-31")).otherwise(at("1899-12-30"))
+        time = F.concat_ws(":", two(F.floor(q["seconds"] / 3600)), two(F.floor(q["seconds"] / 60) % 60), two(q["seconds"] % 60))
+        has_date = q["calendar"] & (q["day"] >= F.when(q["late"], 0).otherwise(1))
+        has_time = q["clock"] & ((q["seconds"] != 0) | ~has_date)
+        return F.when(has_date & has_time, F.concat_ws(" ", date, time)).when(has_date, date).when(has_time, time).otherwise("")
+
+    start = F.struct(named.alias("named"), bare.alias("bare"), late.alias("late"), serial.alias("serial"))
+    usable = fine & serial.isNotNull() & ~F.isnan(serial) & (serial >= 0) & (serial <= LAST_SERIAL)
+    return F.when(usable, F.transform(F.transform(F.transform(F.array(start), read), split), show)[0]).otherwise("")

@@ -125,7 +125,7 @@ def excel_date(t: Tables) -> DataFrame:
     code = F.when(n == 0, "yyyy-mm-dd").when(n == 1, "hh:mm:ss").when(n == 2, "yyyy-mm-dd hh:mm").otherwise("0.00")
     system = F.when(F.col("l_orderkey") % 2 == 0, "1904").otherwise("1900")
     shown = text.excel_date(F.col("l_extendedprice").cast("string"), F.lit("n"), code, system)
-    return t.raw("lineitem").groupBy("l_orderkey", "l_linenumber", shown.alias("shown")).agg(F.count(F.lit(1)).alias("n"))
+    return t.raw("lineitem").select("l_orderkey", "l_linenumber", shown.alias("shown")).groupBy("l_orderkey", "l_linenumber", "shown").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT p_partkey, p_type AS code, regexp_matches(lower(p_type), '[ymdhs]') AS is_date FROM part""")
