@@ -34,6 +34,11 @@ SMALL, SQUARE = 48, 512
 
 #: For the stage on similar texts: shingles of five words, 256 bits, and the blocks of each text.
 WIDE_SHINGLE, WIDE_WORDS, WIDE_BLOCKS = 5, 4, 16
+#: What tells the cells of a comparison apart.
+CELL = ("block", "t1", "t2")
+_CELL_SCHEMA = "block bigint, t1 int, t2 int"
+#: Doubtful pairs that a cell hands on in the first further round, beside one a row; twice as many in each round after it.
+MORE_PAIRS = 4096
 _MIXES = (None, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
@@ -216,8 +221,8 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) ->
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _tiles(radius: int, words: int, doubt: int):
-    """mapInArrow over rows ordered by cell and population count: the links (u, v, sure) of every cell."""
+def _by_cell(emit):
+    """mapInArrow over rows ordered by cell and population count; ``emit`` gets whole cells: a table and the number of each row's cell."""
 
     def run(batches):
         rest = None
@@ -225,7 +230,7 @@ def _tiles(radius: int, words: int, doubt: int):
             table = pa.Table.from_batches([batch])
             if rest is not None:
                 table = pa.concat_tables([rest, table])
-            keys = [table.column(k).to_numpy() for k in ("block", "t1", "t2")]
+            keys = [table.column(k).to_numpy() for k in CELL]
             new = np.zeros(len(table), bool)
             for k in keys:
                 new[1:] |= k[1:] != k[:-1]
@@ -236,26 +241,89 @@ def _tiles(radius: int, words: int, doubt: int):
         if rest is not None and len(rest):
             yield from emit(rest, np.zeros(len(rest), np.int64))
 
+    return run
+
+
+def _table_prints(table: pa.Table, words: int) -> np.ndarray:
+    return np.column_stack([table.column(f"f{w}").to_numpy().view(np.uint64) for w in range(words)])
+
+
+def _tiles(radius: int, words: int, doubt: int):
+    """The links (u, v, sure) of every cell; those that aren't sure name their cell."""
+
     def emit(table, cell):
-        fp = np.column_stack([table.column(f"f{w}").to_numpy().view(np.uint64) for w in range(words)])
         node = table.column("node").to_numpy()
-        label, doubtful = compare_cells(cell, table.column("side").to_numpy(), table.column("pop").to_numpy(), fp, radius, doubt)
+        label, doubtful = compare_cells(cell, table.column("side").to_numpy(), table.column("pop").to_numpy(), _table_prints(table, words), radius, doubt)
         moved = np.flatnonzero(node != node[label])
         u, v = np.concatenate([moved, doubtful[:, 0]]), np.concatenate([label[moved], doubtful[:, 1]])
         if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(np.arange(len(u)) < len(moved))], ["u", "v", "sure"])
+            sure = np.arange(len(u)) < len(moved)
+            where = [pa.array(table.column(k).to_numpy()[u], mask=sure) for k in CELL]
+            yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(sure), *where], ["u", "v", "sure", *CELL])
+
+    return _by_cell(emit)
 
-    return run
+
+def pairs_after(side: np.ndarray, pop: np.ndarray, fp: np.ndarray, label: np.ndarray, radius: int, doubt: int, cursor: int, most: int) -> np.ndarray:
+    """Of one cell's doubtful pairs between different labels the first ``most`` after ``cursor``, closest first, as numbers in that order.
+
+    A number is (distance, row, row), 16, 24 and 24 bits: the same in every call, as a cell's rows and their order are.
+    """
+    best, bound = np.zeros(0, np.int64), doubt
+    for i, j, far in _squares(slice(0, len(side)), side, pop, fp, doubt):
+        new = (far > radius) & (far <= bound) & (label[i] != label[j])
+        if side[0] < 0:
+            new &= i < j  # a square of the diagonal has each pair twice
+        i, j, far = i[new], j[new], far[new].astype(np.int64)
+        key = far << 48 | np.minimum(i, j) << 24 | np.maximum(i, j)
+        best = np.concatenate([best, key[key > cursor]])
+        if len(best) > most:
+            best = np.partition(best, most - 1)[:most]
+            bound = int(best.max()) >> 48
+    return np.sort(best)
+
+
+def _untried(radius: int, words: int, doubt: int, most: int):
+    """The next doubtful pairs (u, v, key, full) of every cell; ``full`` if the cell may have more after them."""
+
+    def emit(table, cell):
+        fp = _table_prints(table, words)
+        node, side, pop, label, cursor = (table.column(k).to_numpy() for k in ("node", "side", "pop", "label", "cursor"))
+        where = [table.column(k).to_numpy() for k in CELL]
+        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        for a, b in zip(edge[:-1], edge[1:]):
+            s, room = slice(a, b), most + int(b - a)
+            key = pairs_after(side[s], pop[s], fp[s], label[s], radius, doubt, int(cursor[a]), room)
+            if len(key):
+                i, j = a + (key >> 24 & (1 << 24) - 1), a + (key & (1 << 24) - 1)
+                cells = [pa.array(np.repeat(w[a : a + 1], len(key))) for w in where]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(key), pa.array(np.full(len(key), len(key) == room)), *cells], ["u", "v", "key", "full", *CELL]
+                )
+
+    return _by_cell(emit)
 
 
 def near_links(points: DataFrame, *, words: int, radius: int, doubt: int = 0, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links (u, v, sure) that join all rows of one block whose fingerprints differ in at most ``radius`` bits.
 
-    Up to ``doubt`` bits, links that aren't sure join what the others leave apart in a tile.
+    Up to ``doubt`` bits, links that aren't sure join what the others leave apart
+    in a tile, if they hold; they name their cell (block, t1, t2), in which
+    further doubtful pairs are to be tried if one of them doesn't.
 
     ``points``: block long, node long, f0.. long, one row for each block of a
     node. It is read twice, so it should be cheap or written down.
     """
+    rows = _dealt(_cells(points, words=words, reach=max(radius, doubt), tile_rows=tile_rows))
+    return rows.mapInArrow(_tiles(radius, words, doubt), f"u bigint, v bigint, sure boolean, {_CELL_SCHEMA}")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "pop", "node")
+
+
+def _cells(points: DataFrame, *, words: int, reach: int, tile_rows: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of every cell (block, t1, t2), with the columns ``also`` of ``points``; a block's cells depend on its own points alone."""
     pop = sum((F.bit_count(f"f{w}") for w in range(1, words)), F.bit_count("f0")).cast("int")
     points = points.withColumn("pop", pop)
     layout = points.groupBy("block", "pop").agg(F.count(F.lit(1)).alias("n"))
@@ -263,7 +331,7 @@ def near_links(points: DataFrame, *, words: int, radius: int, doubt: int = 0, ti
     layout = layout.groupBy("block").agg(F.sum("n").alias("rows"), F.sort_array(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile_rows).cast("int").alias("k")))).alias("levels"))
     hot = checkpoint(layout.where(F.col("rows") > tile_rows).select("block", "levels"))
     n_hot = hot.count()
-    fields = ["block", "node", *(f"f{w}" for w in range(words)), "pop"]
+    fields = ["block", "node", *(f"f{w}" for w in range(words)), "pop", *also]
     cold = points
     cells = []
     if n_hot:
@@ -272,7 +340,7 @@ def near_links(points: DataFrame, *, words: int, radius: int, doubt: int = 0, ti
         mine = lambda x: x["pop"] == F.col("pop")
         sub = F.pmod(F.xxhash64("node"), F.element_at(F.filter("levels", mine), 1)["k"].cast("bigint")).cast("int")
         rows = rows.withColumn("own", F.col("pop") * 65536 + sub)
-        near = F.filter("levels", lambda x: F.abs(x["pop"] - F.col("pop")) <= max(radius, doubt))
+        near = F.filter("levels", lambda x: F.abs(x["pop"] - F.col("pop")) <= reach)
         others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["k"] - 1), lambda h: x["pop"] * 65536 + h)))
         rows = rows.withColumn("other", F.explode(others))
         cells.append(rows.select(
@@ -280,9 +348,7 @@ def near_links(points: DataFrame, *, words: int, radius: int, doubt: int = 0, ti
             F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         ))
     cells.append(cold.select(*fields, F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(-1).alias("side")))
-    rows = cells[0] if len(cells) == 1 else cells[0].unionByName(cells[1])
-    rows = rows.repartition("block", "t1", "t2").sortWithinPartitions("block", "t1", "t2", "pop", "node")
-    return rows.mapInArrow(_tiles(radius, words, doubt), "u bigint, v bigint, sure boolean")
+    return cells[0] if len(cells) == 1 else cells[0].unionByName(cells[1])
 
 
 def band_points(prints: DataFrame) -> DataFrame:
@@ -373,8 +439,8 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, doc_id: str = "d
     0.8 share none with a chance of 0.2 ** 16. In a block their 256-bit
     fingerprints are compared. A distance three standard deviations below that
     of ``similarity`` is a link, one as far above it is none; between the two,
-    links that would join what is apart, the closest first, are decided by the
-    sets of shingles themselves. Texts without words are one group.
+    pairs that would join what is apart, the closest first, are decided by the
+    sets of shingles themselves, until none is left. Texts without words are one group.
     """
     wide = {"seq": "string", "f": "array<bigint>", "blocks": "array<bigint>"}
     prints = docs.select(F.col(doc_id).alias("doc_id"), text_udf(_wide, wide)(F.col(f"`{text}`")).alias("w"))
@@ -384,10 +450,30 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, doc_id: str = "d
     nodes = checkpoint(nodes.select("node", "least", "w.*"))
     points = nodes.select(F.explode("blocks").alias("block"), "node", *words)
     mean, sd = wide_distance(similarity)
-    links = checkpoint(near_links(points, words=WIDE_WORDS, radius=round(mean - 3 * sd), doubt=round(mean + 3 * sd), tile_rows=tile_rows).distinct())
-    sure = links.where("sure").select("u", "v")
-    doubtful = checkpoint(links.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    roots = connected_components(sure.unionByName(_similar(docs, text, doubtful, similarity)))
+    bits = {"radius": round(mean - 3 * sd), "doubt": round(mean + 3 * sd)}
+    links = checkpoint(near_links(points, words=WIDE_WORDS, tile_rows=tile_rows, **bits).distinct())
+    doubtful = checkpoint(links.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *CELL))
+    tried = checkpoint(doubtful.select("u", "v").distinct())
+    roots = checkpoint(connected_components(links.where("sure").select("u", "v").unionByName(_similar(docs, text, tried, similarity))))
+    # where all doubtful links of a cell hold, its other doubtful pairs are joined by them; where one doesn't, the others are tried
+    ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("u", "v")]
+    apart = doubtful.join(ends[0], "u", "left").join(ends[1], "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+    cells = checkpoint(apart.select(*CELL, F.lit(-1).cast("bigint").alias("cursor")).distinct())
+    n_cells, most = cells.count(), MORE_PAIRS
+    if n_cells:
+        points = checkpoint(points.join(bounded(cells.select("block").distinct(), n_cells), "block", "left_semi"))
+    while n_cells:
+        labelled = checkpoint(points.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+        rows = _cells(labelled, words=WIDE_WORDS, reach=bits["doubt"], tile_rows=tile_rows, also=("label",)).join(bounded(cells, n_cells), list(CELL))
+        got = checkpoint(_dealt(rows).mapInArrow(_untried(bits["radius"], WIDE_WORDS, bits["doubt"], most), f"u bigint, v bigint, key bigint, full boolean, {_CELL_SCHEMA}"))
+        fresh = checkpoint(got.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
+        passed = checkpoint(_similar(docs, text, fresh, similarity))
+        if passed.limit(1).count():
+            roots = checkpoint(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(passed)))
+        tried = checkpoint(tried.unionByName(fresh))
+        # pairs up to a cell's cursor are tried or joined, and stay so
+        cells = checkpoint(got.where("full").groupBy(*CELL).agg(F.max("key").alias("cursor")))
+        n_cells, most = cells.count(), 2 * most
     linked = checkpoint(nodes.select("node", "least").join(roots, "node"))
     heads = checkpoint(linked.groupBy("root").agg(F.min("least").alias("head")))
     moved = checkpoint(linked.join(bounded(heads, heads.count()), "root").select("node", "head"))
