@@ -7,7 +7,9 @@ into step after each edit, so their embeddings have a small Hamming distance.
 
 Windows of about an item's size are taken from every document at a stride; the
 items are embedded from as many shifted starts, so that one of a passage's
-windows is always aligned with one start of its item. Keys of a few sampled
+windows is always aligned with one start of its item. A long item is embedded
+from the starts of all its parts of a fixed size, any of which finds it: samples
+of a walk over hundreds of words would hardly ever miss all edits. Keys of a few sampled
 positions of the embedding, from several walks, are looked up in the items'
 keys (bit-sampling LSH), and what meets is verified by the exact edit distance
 of the item to the best stretch of the document's words around the window.
@@ -29,7 +31,9 @@ from .common import text_bytes, text_udf
 MAX_EDITS = 0.2
 WALKS, KEYS_PER_WALK, SAMPLED = 2, 8, 5
 STRIDE = 8
-#: Items are handled in blocks of this many, one pass over the documents each: a block's index is bounded, about 20 kB an item.
+#: Items of more words than ``WHOLE`` are looked up by parts of ``PART`` words.
+WHOLE, PART = 48, 40
+#: Items are handled in blocks of at most this many parts, or of one item, one pass over the documents each: a block's index is bounded, about 20 kB a part.
 ITEM_BLOCK = 5_000
 
 _WORDS = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(128)).lower() + bytes(range(128, 256))
@@ -59,6 +63,11 @@ def shape_of(n: int) -> Shape:
     return Shape(size, stride)
 
 
+def parts_of(n: int) -> list[int]:
+    """Where the parts of an item of ``n`` words begin: they cover it, the last one overlaps if need be."""
+    return [0] if n <= WHOLE else [*range(0, n - PART, PART), n - PART]
+
+
 class Index:
     """The keys of a block of items. ``items``: (item id, text)."""
 
@@ -75,16 +84,17 @@ class Index:
         self.shapes: dict[Shape, list] = {}
         by: dict[Shape, list[int]] = {}
         for k, it in enumerate(self.items):
-            by.setdefault(shape_of(len(it)), []).append(k)
+            by.setdefault(shape_of(len(it) if len(it) <= WHOLE else PART), []).append(k)
         for shape, members in sorted(by.items(), key=lambda x: (x[0].size, x[0].stride)):
             steps = max(2, 2 * shape.size - 2)
-            owner = np.array([k for k in members for _ in range(shape.stride)])
-            shift = np.array([s for _ in members for s in range(shape.stride)])
+            offsets = [[p + s for p in parts_of(len(self.items[k])) for s in range(shape.stride)] for k in members]
+            owner = np.repeat(members, [len(x) for x in offsets])
+            shift = np.concatenate([np.array(x, np.int64) for x in offsets])
             flat = np.zeros(sum(len(self.items[k]) for k in members) + len(members) * (steps + shape.stride), np.int32)
             starts, at = [], 0
-            for k in members:
+            for k, own in zip(members, offsets):
                 flat[at : at + len(self.items[k])] = self.items[k]
-                starts += [at + s for s in range(shape.stride)]
+                starts += [at + s for s in own]
                 at += len(self.items[k]) + steps + shape.stride
             walks = []
             for _ in range(WALKS):
@@ -205,12 +215,15 @@ def find_items(index: Index, texts: list[bytes]) -> list[list[dict]]:
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, bytes]]]:
-    block = []
+    block, size = [], 0
     for r in benchmark.select(F.col(item_id).alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL").toLocalIterator():
-        block.append((r["i"], r["t"].encode()))
-        if len(block) == ITEM_BLOCK:
+        item = r["t"].encode()
+        parts = len(parts_of(len(words_of(item))))
+        if block and size + parts > ITEM_BLOCK:
             yield block
-            block = []
+            block, size = [], 0
+        block.append((r["i"], item))
+        size += parts
     if block:
         yield block
 
