@@ -40,7 +40,11 @@ class Trigrams:
         codes, doc = [], []
         for i, t in enumerate(texts):
             c = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-            letter = np.where(c < 0x10000, _LETTER[np.minimum(c, 0xFFFF)], c >= 0x10000)
+            letter = _LETTER[np.minimum(c, 0xFFFF)]
+            far = np.flatnonzero(c >= 0x10000)
+            if len(far):
+                some, at = np.unique(c[far], return_inverse=True)
+                letter[far] = np.array([chr(x).isalpha() for x in some])[at]
             c = np.concatenate([[0], np.where(letter, c, 0), [0]]).astype(np.uint32)
             keep = np.ones(len(c), bool)
             keep[1:] = (c[1:] != 0) | (c[:-1] != 0)  # one edge between words
