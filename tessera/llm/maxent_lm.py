@@ -2,15 +2,22 @@
 
 The probability of the next token is that of its class, given hashed n-gram and
 skip features of the three tokens before, times that of its place in the class,
-given features of the class and the tokens before. The classes hold the most
-frequent tokens; all others share one symbol, and are told apart by add-one
-counts over all training documents.
-
-Training is distributed: in each round every task takes gradient steps on its
-own documents, starting from the round's model, and the tasks' models are
-averaged by their numbers of tokens. Every training token is in one of the
-rounds. Counts of the vocabulary are exact and may be of any size: only the
-most frequent words (a fixed number) are broadcast, and all other tokens meet
+given features of the class and the tokens before. 32 classes of 32 places hold
+the most frequent tokens and one symbol for all others, the tail. A word of the
+tail has a code, the first bits of its hash, and the factors of its probability
+are those of its code's bits, each a logistic regression on hashed features of
+the bits before it and of the tokens before; the words of one code share its
+probability by add-one counts. So every word of the corpus, however rare, is
+predicted from its context, and is a context itself by its hash. Tables grow
+with the training tokens, up to a size that can be broadcast.
+
+Training is distributed: documents are dealt by a hash of their ids to shards
+of some million tokens. In each round every shard takes gradient steps on its
+own documents in order, starting from the round's model, and the shards' models
+are averaged by their numbers of tokens; the result doesn't depend on how the
+table is partitioned. Every training token is in one of the rounds. Counts of
+the vocabulary are exact and may be of any size: only the most frequent words (a
+fixed number) are broadcast to save looking them up, and all other tokens meet
 their counts in a join.
 """
 
@@ -28,10 +35,15 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, chunks, crc_mod, small_batches, text_bytes
 
-#: Words with an id of their own, which contexts see; a fixed bound of what is broadcast.
-CONTEXT_WORDS = 1 << 17
+#: Words whose counts are broadcast, a fixed bound; the others' counts are joined. It changes no result.
+COMMON_WORDS = 1 << 17
 CLASSES, MEMBERS = 32, 32
-CLASS_ROWS, MEMBER_ROWS = 1 << 15, 1 << 14
+#: Bits of the codes of the tail.
+BITS = 12
+#: Rows of the tables, as powers of two: least, most, and the training tokens a row.
+CLASS_ROWS, MEMBER_ROWS, TAIL_ROWS = (12, 16, 1024), (11, 16, 2048), (12, 22, 16)
+#: Training tokens of a shard, and the most shards (more documents make them longer).
+SHARD_TOKENS, SHARDS = 4_000_000, 4096
 ROUNDS, BATCH, RATE = 2, 1 << 12, 0.12
 #: Words counted in a task before it hands on its counts.
 COUNTED = 400_000
@@ -47,27 +59,34 @@ def word_key(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def code_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
-    """``ids``: the most frequent words, from 2 on (0 stands for all others, 1 for the end); ``counts`` by id."""
+    """``ids``: the most frequent words, from 2 on (0 stands for all others, 1 for the end); ``counts`` and ``keys`` by id; ``mass`` by code of the tail."""
 
     ids: dict[bytes, int]
     counts: np.ndarray
     tokens: int  # training tokens, ends included
     size: int  # distinct ones, the end included
     least: int = 1 << 62  # every word of this count or more has an id
+    mass: np.ndarray | None = None  # counts of the words of a code that have no place of their own, add one each, and one for all unseen ones
+    keys: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.mass is None:
+            self.mass = np.ones(1 << BITS)
+        self.keys = np.zeros(len(self.counts), np.uint64)
+        self.keys[:2] = 1, 2
+        for word, k in self.ids.items():
+            self.keys[k] = xxhash.xxh3_64_intdigest(word)
 
     @property
     def base_log(self) -> float:
         return float(np.log10(self.tokens + self.size + 1))
 
-    @property
-    def other_log(self) -> float:
-        """log10 of the mass over which the tokens without a place of their own share their symbol's probability."""
-        own = self.counts[END : CLASSES * MEMBERS]
-        some = own > 0
-        return float(np.log10(max(self.tokens - own.sum(), 0) + max(self.size - some.sum(), 0) + 1))
-
     def symbols(self) -> np.ndarray:
         """Counts of the output symbols."""
         own = np.zeros(CLASSES * MEMBERS)
@@ -77,17 +96,33 @@ class Vocabulary:
         return own
 
 
+def _rows(bounds: tuple[int, int, int], tokens: int) -> int:
+    least, most, each = bounds
+    return 1 << min(max(int(np.ceil(np.log2(max(tokens, 1) / each))), least), most)
+
+
 class Model:
-    """Weights: a table of class rows, a table of member rows, and the intercepts of both."""
+    """Weights: a table of class rows, one of member rows, one of single weights for the tail's bits, and the fixed intercepts of each."""
 
     def __init__(self, vocabulary: Vocabulary):
         mass = vocabulary.symbols().reshape(CLASSES, MEMBERS) + 0.5
         self.class_bias = np.log(mass.sum(axis=1)).astype(np.float32)
         self.member_bias = np.log(mass).astype(np.float32)
-        self.class_rows = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.member_rows = np.zeros((MEMBER_ROWS, MEMBERS), np.float32)
-
-    NAMES = ("class_rows", "member_rows", "class_bias", "member_bias")
+        self.class_rows = np.zeros((_rows(CLASS_ROWS, vocabulary.tokens), CLASSES), np.float32)
+        self.member_rows = np.zeros((_rows(MEMBER_ROWS, vocabulary.tokens), MEMBERS), np.float32)
+        self.tail = np.zeros(_rows(TAIL_ROWS, vocabulary.tokens), np.float32)
+        # the bit after a prefix is one as often as the counts of the tail say: nodes are numbered like a heap, the root is 1
+        heap = np.concatenate([np.zeros(1 << BITS), vocabulary.mass])
+        for node in range((1 << BITS) - 1, 0, -1):
+            heap[node] = heap[2 * node] + heap[2 * node + 1]
+        self.node_bias = np.zeros(1 << BITS, np.float32)
+        self.node_bias[1:] = np.log(heap[3::2]) - np.log(heap[2::2])
+
+    def state(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Squared gradients so far, none."""
+        return tuple(np.zeros(len(t), np.float32) for t in (self.class_rows, self.member_rows, self.tail))
+
+    NAMES = ("class_rows", "member_rows", "tail")
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -108,26 +143,39 @@ def _slot(rows: int, salt: int, *ids: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(20)).astype(np.int64) % rows
 
 
-def contexts(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The one, two and three tokens before; before a document's ``first`` token stand starts."""
-    start = CONTEXT_WORDS + 2
-    place = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
+def contexts(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The one, two and three tokens before, by their hashes; before a document's ``first`` token stand starts."""
+    place = np.arange(len(keys)) - np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
     back = []
     for k in (1, 2, 3):
-        b = np.full(len(ids), start, np.int64)
-        b[k:] = ids[:-k]
-        b[place < k] = start + k
+        b = np.empty(len(keys), np.uint64)
+        b[k:] = keys[:-k]
+        b[place < k] = 2 + k
         back.append(b)
     return tuple(back)
 
 
-def features(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def features(model: Model, ids: np.ndarray, before: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Class and place of every token, the class rows of its n-gram and skip features, and its member rows."""
-    w1, w2, w3 = contexts(ids, first)
+    w1, w2, w3 = before
     symbol = np.where(ids < CLASSES * MEMBERS, ids, OTHER)
     cls, member = symbol // MEMBERS, symbol % MEMBERS
-    rows = [_slot(CLASS_ROWS, 0, w1), _slot(CLASS_ROWS, 1, w1, w2), _slot(CLASS_ROWS, 2, w2, w3)]
-    return cls, member, rows, [_slot(MEMBER_ROWS, 4, cls, w1), _slot(MEMBER_ROWS, 5, cls, w2)]
+    n, m = len(model.class_rows), len(model.member_rows)
+    rows = [_slot(n, 0, w1), _slot(n, 1, w1, w2), _slot(n, 2, w2, w3)]
+    return cls, member, rows, [_slot(m, 4, cls, w1), _slot(m, 5, cls, w2)]
+
+
+def bits_of(model: Model, keys: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of words of the tail, by row: their codes' bits, the intercept of each, and the places of the weights of its two features."""
+    code = code_of(keys) | 1 << BITS
+    node = code[:, None] >> np.arange(BITS, 0, -1)
+    bit = (code[:, None] >> np.arange(BITS - 1, -1, -1)) & 1
+    mark, mask = node.astype(np.uint64) * np.uint64(_ODD[3]), np.uint64(len(model.tail) - 1)
+    places = []
+    for k, w in enumerate((w1, w2)):
+        key = (mark + (w * np.uint64(_ODD[k]) + np.uint64(k))[:, None]) * np.uint64(_ODD[4])
+        places.append(((key >> np.uint64(32)) & mask).astype(np.int64))
+    return bit, model.node_bias[node], places
 
 
 def _softmax(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
@@ -152,14 +200,21 @@ def _chosen(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, which:
     return own - np.log(np.einsum("ij->i", np.exp(z, out=z)))
 
 
-def log_probability(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 of the model's probability of every token's symbol."""
+def log_probability(model: Model, ids: np.ndarray, keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 of the model's probability of every token, for one of the tail that of its code."""
     out = np.empty(len(ids), np.float32)
-    cls, member, rows, places = features(ids, first)
+    before = contexts(keys, first)
+    cls, member, rows, places = features(model, ids, before)
+    tail = (ids == OTHER) | (ids >= CLASSES * MEMBERS)
     for a in range(0, len(ids), BATCH):
         s = slice(a, a + BATCH)
         out[s] = _chosen(model.class_rows, [r[s] for r in rows], model.class_bias, cls[s])
         out[s] += _chosen(model.member_rows, [r[s] for r in places], model.member_bias[cls[s]], member[s])
+        t = a + np.flatnonzero(tail[s])
+        if len(t):
+            bit, z, at = bits_of(model, keys[t], before[0][t], before[1][t])
+            z = z + model.tail[at[0]] + model.tail[at[1]]
+            out[t] -= np.logaddexp(0, np.where(bit, -z, z)).sum(axis=1)
     return out / np.float32(np.log(10))
 
 
@@ -178,9 +233,11 @@ def _descend(table: np.ndarray, power: np.ndarray, rows: np.ndarray, columns: np
     table[at] -= RATE * step / np.sqrt(power[at] + 1e-6)[:, None]
 
 
-def learn(model: Model, state: tuple[np.ndarray, np.ndarray], ids: np.ndarray, first: np.ndarray) -> None:
+def learn(model: Model, state: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, keys: np.ndarray, first: np.ndarray) -> None:
     """Gradient steps over the tokens, a batch at a time, in place."""
-    cls, member, rows, places = features(ids, first)
+    before = contexts(keys, first)
+    cls, member, rows, places = features(model, ids, before)
+    tail = (ids == OTHER) | (ids >= CLASSES * MEMBERS)
     for a in range(0, len(ids), BATCH):
         s = slice(a, a + BATCH)
         c, m = cls[s], member[s]
@@ -195,10 +252,18 @@ def learn(model: Model, state: tuple[np.ndarray, np.ndarray], ids: np.ndarray, f
         columns = np.ascontiguousarray(grad.T, np.float64)
         for r in places:
             _descend(model.member_rows, state[1], r[s], columns)
-
-
-def _ids(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Ids of all tokens (each text's end included), marks of the first ones, the numbers of tokens, and all words."""
+        t = a + np.flatnonzero(tail[s])
+        if len(t):
+            bit, z, at = bits_of(model, keys[t], before[0][t], before[1][t])
+            z = z + model.tail[at[0]] + model.tail[at[1]]
+            grad = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - bit).astype(np.float32).ravel()
+            where, grad = np.concatenate([x.ravel() for x in at]), np.concatenate([grad, grad])
+            np.add.at(state[2], where, grad * grad)
+            np.add.at(model.tail, where, -RATE * grad / np.sqrt(state[2][where] + np.float32(1e-6)))
+
+
+def _ids(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and hashes of all tokens (each text's end included), marks of the first ones, and the numbers of tokens."""
     words = [t.lower().split() for t in texts]
     sizes = np.array([len(w) + 1 for w in words], np.int64)
     words = list(chain.from_iterable(words))
@@ -207,11 +272,16 @@ def _ids(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.nd
     flat = np.empty(total, np.int32)
     body = np.ones(total, bool)
     body[ends - 1] = False
-    flat[body] = np.fromiter(map(known.get, words, repeat(OTHER)), np.int32, len(words))
+    ids = np.fromiter(map(vocabulary.ids.get, words, repeat(OTHER)), np.int32, len(words))
+    flat[body] = ids
     flat[~body] = END
+    keys = vocabulary.keys[flat]
+    rare = np.flatnonzero(ids == OTHER)
+    digest = xxhash.xxh3_64_intdigest
+    keys[np.flatnonzero(body)[rare]] = np.fromiter((digest(words[j]) for j in rare.tolist()), np.uint64, len(rare))
     first = np.zeros(total, bool)
     first[ends - sizes] = True
-    return flat, first, sizes, words
+    return flat, keys, first, sizes
 
 
 def count_words(training: DataFrame, text: str = "text") -> DataFrame:
@@ -242,29 +312,41 @@ def count_words(training: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_vocabulary(counted: DataFrame, documents: int) -> Vocabulary:
-    """From the written-down counts: the totals, and the most frequent words (at most ``CONTEXT_WORDS`` rows reach the driver)."""
+    """From the written-down counts: the totals, and the most frequent words (at most ``COMMON_WORDS`` rows reach the driver), and the masses of the tail's codes."""
     tokens, size = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # at most some hundred steps of counts, of which as many are taken from the top as have room
     steps = counted.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()
-    room, least = CONTEXT_WORDS, 1 << 62
+    room, least = COMMON_WORDS, 1 << 62
     for r in sorted(steps, key=lambda r: -r["step"]):
         if r["n"] > room:
             break
         room, least = room - r["n"], r["least"]
     top = sorted(counted.where(F.col("c") >= least).select("word", "c").collect(), key=lambda r: (-r["c"], r["word"]))
     counts = np.array([0, documents] + [r["c"] for r in top], np.int64)
-    return Vocabulary({bytes(r["word"]): k + 2 for k, r in enumerate(top)}, counts, tokens + documents, size + (documents > 0), least)
+    tail, own = counted, CLASSES * MEMBERS - 2
+    if len(top) >= own:
+        c, word = top[own - 1]["c"], bytes(top[own - 1]["word"])
+        tail = counted.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(word))))
+    elif top:
+        tail = counted.where(F.col("c") < least)
+    code = F.shiftrightunsigned("key", 64 - BITS)
+    mass = np.ones(1 << BITS)
+    for r in tail.groupBy(code.alias("code")).agg(F.sum(F.col("c") + 1).alias("m")).collect():  # at most 2 ** BITS rows
+        mass[r["code"]] += r["m"]
+    return Vocabulary({bytes(r["word"]): k + 2 for k, r in enumerate(top)}, counts, tokens + documents, size + (documents > 0), least, mass)
 
 
 def _train_task(batches, shared=None, start=None):
-    model, state = Model(shared.value), (np.zeros(CLASS_ROWS, np.float32), np.zeros(MEMBER_ROWS, np.float32))
+    """One shard's model, in pieces."""
+    model = Model(shared.value)
+    state = model.state()
     if start is not None:
         model.load(start.value)
     n = 0
     for batch in batches:
         for part in chunks(batch.column(0)):
-            ids, first, _, _ = _ids(text_bytes(part), shared.value.ids)
-            learn(model, state, ids, first)
+            ids, keys, first, _ = _ids(text_bytes(part), shared.value)
+            learn(model, state, ids, keys, first)
             n += len(ids)
     if n:
         flat = model.flat().astype(np.float32)
@@ -273,7 +355,7 @@ def _train_task(batches, shared=None, start=None):
 
 
 #: Weights are averaged in pieces of this many, each by one task.
-PIECE = 1 << 12
+PIECE = 1 << 14
 
 
 def _average(batches):
@@ -292,8 +374,11 @@ def train(training: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_id"
     sc = training.sparkSession.sparkContext
     shared, start = sc.broadcast(vocabulary), None
     share = F.pmod(F.xxhash64(F.lit("round"), F.col(doc_id)), F.lit(ROUNDS))
+    shards = int(min(max(vocabulary.tokens / ROUNDS / SHARD_TOKENS, 1), SHARDS))
+    order = F.xxhash64(F.lit("shard"), F.col(doc_id))
     for k in range(ROUNDS):
-        part = training.where(share == k).select(F.col(f"`{text}`").alias("t"))
+        part = training.where(share == k).select(F.col(f"`{text}`").alias("t"), order.alias("o"))
+        part = part.repartitionById(shards, F.pmod("o", F.lit(shards)).cast("int")).sortWithinPartitions("o", "t").select("t")
         pieces = part.mapInArrow(partial(_train_task, shared=shared, start=start), "piece int, n bigint, w binary")
         # a piece's rows are as many as the tasks; the sums hold one piece's weights at a time
         got = pieces.repartition("piece").mapInArrow(_average, "piece int, w binary").collect()
@@ -308,27 +393,26 @@ def _score_task(batches, shared=None, weights=None):
     if weights is not None:
         model.load(weights.value)
     counts = vocabulary.counts
-    log_count = np.log10(counts + 1.0)
+    log_count, log_mass = np.log10(counts + 1.0), np.log10(vocabulary.mass)
     for batch in batches:
         at = 0
         for part in chunks(batch.column(2)):
-            ids, first, sizes, words = _ids(text_bytes(part), vocabulary.ids)
+            ids, keys, first, sizes = _ids(text_bytes(part), vocabulary)
             starts = np.cumsum(sizes) - sizes
             total = lambda x: np.add.reduceat(x, starts)
-            said = log_probability(model, ids, first).astype(np.float64)
-            base = np.where(ids == OTHER, 0.0, log_count[ids])
-            other = (ids == OTHER) | (ids >= CLASSES * MEMBERS)
-            said += np.where(other, base, 0.0)
-            known = (ids != OTHER) & (counts[ids] > 0)
-            rare = [words[j] for j in np.flatnonzero(ids[ids != END] == OTHER).tolist()]  # ends aside, ids and words run in step
-            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, rare), np.uint64, len(rare)).view(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(total((ids == OTHER).astype(np.int64)))]).astype(np.int32)
+            said = log_probability(model, ids, keys, first).astype(np.float64)
+            rare = ids == OTHER
+            base = np.where(rare, 0.0, log_count[ids])
+            tail = rare | (ids >= CLASSES * MEMBERS)
+            said[tail] += base[tail] - log_mass[code_of(keys[tail])]
+            known = ~rare & (counts[ids] > 0)
+            bounds = np.concatenate([[0], np.cumsum(total(rare.astype(np.int64)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(sizes), pa.array(total(known.astype(np.int64))),
-                    pa.array(total(base)), pa.array(total(said)), pa.array(total(other.astype(np.int64))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)),
+                    pa.array(total(base)), pa.array(total(said)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[rare].view(np.int64))),
                 ],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "said", "others", "rare"],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "said", "rare"],
             )
             at += len(part)
 
@@ -338,7 +422,7 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     Null and empty texts are their end alone. Repeated rows are scored each (and
     teach each). With nothing to train on (an empty table, or only held-out
-    documents) counts are zero and the model is uniform over its symbols.
+    documents) counts are zero and the model is uniform over its symbols and codes.
     """
     small_batches(docs.sparkSession)
     marked = docs.select(F.col(doc_id).alias("doc_id"), (crc_mod(doc_id, HELD_OUT_OF) == HELD_OUT).alias("held_out"), F.col(f"`{text}`").alias("text"))
@@ -347,7 +431,7 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     vocabulary = build_vocabulary(counted, training.count())
     weights = train(training, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, said double, others bigint, rare array<bigint>"
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, said double, rare array<bigint>"
     scored = marked.mapInArrow(partial(_score_task, shared=shared, weights=weights), schema)
     scored = checkpoint(scored.withColumn("row", F.monotonically_increasing_id()))  # written down, so the row numbers hold
 
@@ -359,5 +443,5 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return done.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + rare - F.col("n_tokens") * vocabulary.base_log).alias("base_score"),
-        (F.col("said") + rare - F.col("others") * vocabulary.other_log).alias("score"),
+        (F.col("said") + rare).alias("score"),
     )
