@@ -19,20 +19,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_bytes, text_udf
+from .common import free_name, text_bytes, text_udf, written
 
 #: An item is found if a stretch of the text is within this share of the item's words in edits.
 MAX_EDITS = 0.2
 WALKS, KEYS_PER_WALK, SAMPLED = 2, 8, 5
 STRIDE = 8
+#: Items of at most ``FEW`` words, whose walks one edit throws out of step nearly at once, are embedded from all their words, and keys have fewer positions.
+FEW, SAMPLED_OF_FEW = 6, 2
 #: Items of more words than ``WHOLE`` are looked up by parts of ``PART`` words.
-WHOLE, PART = 48, 40
+WHOLE, PART = 32, 26
 #: Items are handled in blocks of at most this many parts, or of one item, one pass over the documents each: a block's index is bounded, about 20 kB a part.
 ITEM_BLOCK = 5_000
 
@@ -86,8 +90,10 @@ class Index:
         for k, it in enumerate(self.items):
             by.setdefault(shape_of(len(it) if len(it) <= WHOLE else PART), []).append(k)
         for shape, members in sorted(by.items(), key=lambda x: (x[0].size, x[0].stride)):
-            steps = max(2, 2 * shape.size - 2)
-            offsets = [[p + s for p in parts_of(len(self.items[k])) for s in range(shape.stride)] for k in members]
+            few = shape.size <= FEW
+            steps = shape.size if few else 2 * shape.size - 2
+            most = min(SAMPLED_OF_FEW, steps) if few else SAMPLED
+            offsets = [list(range(max(len(self.items[k]) - 1, 1))) if few else [p + s for p in parts_of(len(self.items[k])) for s in range(shape.stride)] for k in members]
             owner = np.repeat(members, [len(x) for x in offsets])
             shift = np.concatenate([np.array(x, np.int64) for x in offsets])
             flat = np.zeros(sum(len(self.items[k]) for k in members) + len(members) * (steps + shape.stride), np.int32)
@@ -102,9 +108,9 @@ class Index:
                 tables = []
                 for r in range(KEYS_PER_WALK):
                     # samples of one key come from a stretch of the walk: a half, or a third, of it
-                    width = max(min(SAMPLED, steps), steps // (2 + r % 2))
+                    width = max(min(most, steps), steps // (2 + r % 2))
                     low = int(rng.integers(0, steps - width + 1)) if r else 0
-                    places = np.sort(rng.choice(width, min(SAMPLED, width), replace=False)) + low
+                    places = np.sort(rng.choice(width, min(most, width), replace=False)) + low
                     tables.append((places, rng.integers(1, 1 << 62, len(places), dtype=np.uint64) | np.uint64(1)))
                 keys = self._keys(flat, np.array(starts, np.int64), moves, tables)
                 made = []
@@ -236,18 +242,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
     hold and are nothing; items of equal text are all reported, and so are
     repeated rows. Without items, and for an empty table, the arrays are empty.
     """
-    out, kind = docs, "array<struct<item_id:bigint,edits:int,start:bigint,end:bigint>>"
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    found = F.array().cast(kind)
-    for block in _blocks(benchmark, item_id, item_text):
+    id_type = benchmark.schema[item_id].dataType
+    kind = f"array<struct<item_id:{id_type.simpleString()},edits:int,start:bigint,end:bigint>>"
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def found_in(column, block):
         shared = docs.sparkSession.sparkContext.broadcast(Index(block, max_edits))
 
-        def run(texts: pa.Array, shared=shared) -> dict[str, pa.Array]:
+        def run(texts: pa.Array) -> dict[str, pa.Array]:
             index = shared.value
             rows = find_items(index, text_bytes(texts))
             said = [[{"item_id": index.ids[x["item"]], "edits": x["edits"], "start": x["start"], "end": x["end"]} for x in r] for r in rows]
             return {"found": pa.array(said, arrow)}
 
-        got = text_udf(run, {"found": kind})(F.col(f"`{text}`"))["found"]
-        found = F.concat(found, got)
-    return out.withColumn(into, found)
+        return text_udf(run, {"found": kind})(column)["found"]
+
+    blocks = _blocks(benchmark, item_id, item_text)
+    block, after = next(blocks, None), next(blocks, None)
+    if after is None:
+        return docs.withColumn(into, F.array().cast(kind) if block is None else found_in(F.col(f"`{text}`"), block))
+    # several blocks: one index at a time is built, broadcast and held by the workers; what a block finds is written down
+    row, key, some = free_name(docs, "leak_row"), free_name(docs, "leak_key"), free_name(docs, "leak_found")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "leak-rows")
+    hits = None
+    for block in chain((block, after), blocks):
+        got = numbered.select(F.col(row).alias(key), found_in(F.col(f"`{text}`"), block).alias("found")).where(F.size("found") > 0)
+        got = written(got, "leaks")
+        hits = got if hits is None else hits.unionByName(got)
+    hits = hits.groupBy(key).agg(F.flatten(F.collect_list("found")).alias("found"))  # at most a row a block and document
+    joined = numbered.drop(into).join(hits.withColumnRenamed("found", some), F.col(row) == F.col(key), "left")
+    return joined.withColumn(into, F.coalesce(F.col(some), F.array().cast(kind))).drop(row, key, some)
