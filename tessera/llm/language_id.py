@@ -19,6 +19,8 @@ from .common import crc_mod, small_batches, text_strs, text_udf, with_struct
 DIMENSIONS = 1024
 #: Texts whose trigram counts are multiplied at once.
 BLOCK = 256
+#: Trigrams whose vectors exist at once; a script of thousands of letters has about as many trigrams as letters in its texts.
+KEYS = 1 << 13
 _LETTER = np.frombuffer(bytes(chr(i).isalpha() for i in range(0x10000)), dtype=np.bool_)
 
 
@@ -34,7 +36,7 @@ def letter_vectors(codes: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarra
 
 
 class Trigrams:
-    """The trigram counts of a block of texts: ``keys`` (three code points each) and a count matrix, texts by keys."""
+    """The trigram counts of a block of texts: ``keys`` (three code points each), and by key the texts (``doc``) that hold it, and how often (``times``)."""
 
     def __init__(self, texts: list[str]):
         codes, doc = [], []
@@ -55,7 +57,8 @@ class Trigrams:
         self.alphabet, index = np.unique(c, return_inverse=True)
         a = np.int64(max(len(self.alphabet), 1))
         if len(c) < 3:
-            self.keys, self.counts = np.zeros((0, 3), np.uint32), np.zeros((len(texts), 0), np.float32)
+            self.keys, self.key = np.zeros((0, 3), np.uint32), np.zeros(0, np.int64)
+            self.doc, self.times, self.texts = self.key, self.key, len(texts)
             return
         index = index.astype(np.int64)
         key = (index[:-2] * a + index[1:-1]) * a + index[2:]
@@ -69,14 +72,38 @@ class Trigrams:
         else:
             seen, at = np.unique(key, return_inverse=True)
         self.keys = np.column_stack([self.alphabet[seen // (a * a)], self.alphabet[seen // a % a], self.alphabet[seen % a]])
-        self.counts = np.bincount(d * len(seen) + at, minlength=len(texts) * len(seen)).reshape(len(texts), len(seen)).astype(np.float32)
-
-    def vectors(self) -> np.ndarray:
-        """One bound vector a key."""
-        letters, index = np.unique(self.keys, return_inverse=True)
-        index = index.reshape(self.keys.shape)
-        base = letter_vectors(letters)
-        return np.roll(base, 2, axis=1)[index[:, 0]] * np.roll(base, 1, axis=1)[index[:, 1]] * base[index[:, 2]]
+        self.texts = len(texts)
+        cell, self.times = np.unique(at * len(texts) + d, return_counts=True)
+        self.key, self.doc = np.divmod(cell, max(len(texts), 1))
+
+    def some(self) -> np.ndarray:
+        """Which texts have a trigram."""
+        return np.bincount(self.doc, minlength=self.texts) > 0
+
+    def table(self) -> np.ndarray:
+        """The counts as texts by trigrams."""
+        out = np.zeros((self.texts, len(self.keys)), np.int64)
+        out[self.doc, self.key] = self.times
+        return out
+
+    def bundles(self, group: np.ndarray, groups: int) -> np.ndarray:
+        """The bundled vectors of ``groups`` of texts, whose numbers ``group`` gives: sums of bound vectors, ``KEYS`` trigrams at a time."""
+        out = np.zeros((groups, DIMENSIONS), np.float32)
+        for a in range(0, len(self.keys), KEYS):
+            first, last = np.searchsorted(self.key, [a, a + KEYS])
+            s = slice(first, last)
+            vectors = bound(self.keys[a : a + KEYS])
+            counts = np.bincount(group[self.doc[s]] * len(vectors) + self.key[s] - a, self.times[s], groups * len(vectors)).astype(np.float32)
+            out += counts.reshape(groups, len(vectors)) @ vectors.astype(np.float32)
+        return out
+
+
+def bound(keys: np.ndarray) -> np.ndarray:
+    """One vector a trigram."""
+    letters, index = np.unique(keys, return_inverse=True)
+    index = index.reshape(keys.shape)
+    base = letter_vectors(letters)
+    return np.roll(base, 2, axis=1)[index[:, 0]] * np.roll(base, 1, axis=1)[index[:, 1]] * base[index[:, 2]]
 
 
 def _blocks(texts: list[str], most: int = 1 << 20):
@@ -105,10 +132,7 @@ def prototypes(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> di
                 grams = Trigrams(block)
                 names = sorted(set(langs[start : start + len(block)]))
                 rows = np.array([names.index(x) for x in langs[start : start + len(block)]])
-                by = np.zeros((len(names), len(block)), np.float32)
-                by[rows, np.arange(len(block))] = 1
-                got = (by @ grams.counts).astype(np.float64) @ grams.vectors().astype(np.float64)
-                for name, v in zip(names, got):
+                for name, v in zip(names, grams.bundles(rows, len(names)).astype(np.float64)):
                     sums[name] = sums.get(name, 0) + v
         yield pa.RecordBatch.from_pydict(
             {"lang": pa.array(list(sums), pa.string()), "v": pa.array([np.rint(v).astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))}
@@ -132,12 +156,12 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], *, text: str = "text"
         langs, scores = [], []
         for _, block in _blocks(text_strs(texts)):
             grams = Trigrams(block)
-            some = grams.counts.any(axis=1) if grams.counts.size else np.zeros(len(block), bool)
+            some = grams.some()
             if matrix is None or not some.any():
                 langs += ["und"] * len(block)
                 scores += [0.0] * len(block)
                 continue
-            v = grams.counts @ grams.vectors().astype(np.float32)
+            v = grams.bundles(np.arange(len(block)), len(block))
             cosine = (v @ matrix) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             best = cosine.argmax(axis=1)
             langs += [names[b] if s else "und" for b, s in zip(best, some)]
