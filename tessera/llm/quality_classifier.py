@@ -122,6 +122,33 @@ def _tree(grad: np.ndarray, hess: np.ndarray, leaves: int) -> np.ndarray:
     return out
 
 
+def _tree_of_pair(grad: np.ndarray, hess: np.ndarray, leaves: int) -> np.ndarray:
+    """The step of a shallow tree over the grid of two features: greedy best cuts of rectangles, along either feature, until ``leaves`` leaves, Newton values."""
+    gain = lambda g, h: g * g / (h + 1.0)
+    out = np.zeros(grad.shape)
+    parts = [(slice(0, grad.shape[0]), slice(0, grad.shape[1]))]
+    while len(parts) < leaves:
+        best = (1e-9, None, None)
+        for p, (a, b) in enumerate(parts):
+            for axis in (0, 1):
+                g, h = grad[a, b].sum(axis=1 - axis), hess[a, b].sum(axis=1 - axis)
+                if len(g) > 1:
+                    cg, ch = np.cumsum(g), np.cumsum(h)
+                    won = gain(cg[:-1], ch[:-1]) + gain(cg[-1] - cg[:-1], ch[-1] - ch[:-1]) - gain(cg[-1], ch[-1])
+                    k = int(np.argmax(won))
+                    if won[k] > best[0]:
+                        m = (a, b)[axis].start + k + 1
+                        halves = ((slice(a.start, m), b), (slice(m, a.stop), b)) if axis == 0 else ((a, slice(b.start, m)), (a, slice(m, b.stop)))
+                        best = (won[k], p, halves)
+        if best[1] is None:
+            break
+        parts.pop(best[1])
+        parts += best[2]
+    for a, b in parts:
+        out[a, b] = grad[a, b].sum() / (hess[a, b].sum() + 1.0)
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Gam:
     """Cyclic boosting on all rows given. With no rows, or one class only, the score is constant: the smoothed share of ones."""
     share = (y.sum() + 1) / (len(y) + 2)
@@ -154,9 +181,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
         for i, j, _c, table in gam.pairs:
             p = 1 / (1 + np.exp(-z))
             cell = low[:, i] * PAIR_BINS + low[:, j]
-            step = RATE * np.bincount(cell, y - p, area) / (np.bincount(cell, p * (1 - p), area) + 4.0)
-            table += step.reshape(table.shape)
-            z += step[cell]
+            step = RATE * _tree_of_pair(np.bincount(cell, y - p, area).reshape(table.shape), np.bincount(cell, p * (1 - p), area).reshape(table.shape), LEAVES)
+            table += step
+            z += step.ravel()[cell]
     return gam
 
 
