@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free_name, text_bytes, text_udf
+from .common import checkpoint, free_name, text_bytes, text_udf, written
 from .components import bounded, connected_components
 
 RADIUS, SHINGLE, SEED, BANDS = 3, 3, 42, 4
@@ -37,8 +37,12 @@ WIDE_SHINGLE, WIDE_WORDS, WIDE_BLOCKS = 5, 4, 16
 #: What tells the cells of a comparison apart.
 CELL = ("block", "t1", "t2")
 _CELL_SCHEMA = "block bigint, t1 int, t2 int"
-#: Doubtful pairs that a cell hands on in the first further round, beside one a row; twice as many in each round after it.
-MORE_PAIRS = 4096
+#: Doubtful pairs that a cell hands on in the first further round, beside one a row; four times as many in each round after it.
+MORE_PAIRS = 1 << 14
+#: Shingle hashes of a text that are written down for decisions, the smallest ones; a text of fewer has its whole set.
+SKETCH = 1024
+#: Pairs of larger sets are decided by their sketches where these are this many standard deviations from the similarity, else by the whole sets.
+SKETCH_SD = 6.0
 _MIXES = (None, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
@@ -120,12 +124,23 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def compare_cells(cell: np.ndarray, side: np.ndarray, pop: np.ndarray, fp: np.ndarray, radius: int, doubt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _sizes_allow(size: np.ndarray | None, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets of these sizes can have the similarity: the smaller one must have this share of the larger."""
+    if size is None:
+        return np.ones(len(i), bool)
+    a, b = size[i], size[j]
+    return np.minimum(a, b) >= similarity * np.maximum(a, b)
+
+
+def compare_cells(
+    cell: np.ndarray, side: np.ndarray, pop: np.ndarray, fp: np.ndarray, radius: int, doubt: int = 0, size: np.ndarray | None = None, similarity: float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
     """Labels of the rows, and doubtful pairs of rows (two columns of indexes).
 
     Labels are equal for rows of one cell that links within ``radius`` join:
     the smallest index of those. Doubtful pairs differ in more bits, ``doubt``
-    at most, and join what labels leave apart, the closest first (none by default).
+    at most, and join what labels leave apart, the closest first (none by default);
+    their sets' sizes (``size``) allow the similarity.
 
     Rows come ordered by cell and population count. ``side`` is -1 in a cell
     that is compared within itself; otherwise only rows of side 0 and side 1 are compared.
@@ -148,15 +163,16 @@ def compare_cells(cell: np.ndarray, side: np.ndarray, pop: np.ndarray, fp: np.nd
         found.append((i[hit], j[hit], far[hit]))
     i, j, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     label = _labels(n, i[far <= radius], j[far <= radius])
-    doubtful = [(i[far > radius], j[far > radius], far[far > radius])]
-    for start, size in zip(edge[sizes > SMALL], sizes[sizes > SMALL]):
-        rows = slice(start, start + size)
+    unsure = (far > radius) & _sizes_allow(size, i, j, similarity)
+    doubtful = [(i[unsure], j[unsure], far[unsure])]
+    for start, many in zip(edge[sizes > SMALL], sizes[sizes > SMALL]):
+        rows = slice(start, start + many)
         for i, j, _ in _squares(rows, side, pop, fp, radius):
             _join(label, np.arange(rows.start, rows.stop), label[i], label[j])
         if doubt > radius:
             best = (np.zeros(0, np.int64),) * 3
             for i, j, far in _squares(rows, side, pop, fp, doubt):
-                apart = label[i] != label[j]
+                apart = (label[i] != label[j]) & _sizes_allow(size, i, j, similarity)
                 best = _closest(label, *(np.concatenate(x) for x in zip(best, (i[apart], j[apart], far[apart]))))
             doubtful.append(best)
     i, j, far = (np.concatenate(x) for x in zip(*doubtful))
@@ -248,12 +264,13 @@ def _table_prints(table: pa.Table, words: int) -> np.ndarray:
     return np.column_stack([table.column(f"f{w}").to_numpy().view(np.uint64) for w in range(words)])
 
 
-def _tiles(radius: int, words: int, doubt: int):
+def _tiles(radius: int, words: int, doubt: int, similarity: float):
     """The links (u, v, sure) of every cell; those that aren't sure name their cell."""
 
     def emit(table, cell):
         node = table.column("node").to_numpy()
-        label, doubtful = compare_cells(cell, table.column("side").to_numpy(), table.column("pop").to_numpy(), _table_prints(table, words), radius, doubt)
+        size = table.column("size").to_numpy() if "size" in table.column_names else None
+        label, doubtful = compare_cells(cell, table.column("side").to_numpy(), table.column("pop").to_numpy(), _table_prints(table, words), radius, doubt, size, similarity)
         moved = np.flatnonzero(node != node[label])
         u, v = np.concatenate([moved, doubtful[:, 0]]), np.concatenate([label[moved], doubtful[:, 1]])
         if len(u):
@@ -264,14 +281,16 @@ def _tiles(radius: int, words: int, doubt: int):
     return _by_cell(emit)
 
 
-def pairs_after(side: np.ndarray, pop: np.ndarray, fp: np.ndarray, label: np.ndarray, radius: int, doubt: int, cursor: int, most: int) -> np.ndarray:
+def pairs_after(
+    side: np.ndarray, pop: np.ndarray, fp: np.ndarray, label: np.ndarray, radius: int, doubt: int, cursor: int, most: int, size: np.ndarray | None = None, similarity: float = 0.0
+) -> np.ndarray:
     """Of one cell's doubtful pairs between different labels the first ``most`` after ``cursor``, closest first, as numbers in that order.
 
     A number is (distance, row, row), 16, 24 and 24 bits: the same in every call, as a cell's rows and their order are.
     """
     best, bound = np.zeros(0, np.int64), doubt
     for i, j, far in _squares(slice(0, len(side)), side, pop, fp, doubt):
-        new = (far > radius) & (far <= bound) & (label[i] != label[j])
+        new = (far > radius) & (far <= bound) & (label[i] != label[j]) & _sizes_allow(size, i, j, similarity)
         if side[0] < 0:
             new &= i < j  # a square of the diagonal has each pair twice
         i, j, far = i[new], j[new], far[new].astype(np.int64)
@@ -283,17 +302,17 @@ def pairs_after(side: np.ndarray, pop: np.ndarray, fp: np.ndarray, label: np.nda
     return np.sort(best)
 
 
-def _untried(radius: int, words: int, doubt: int, most: int):
+def _untried(radius: int, words: int, doubt: int, most: int, similarity: float):
     """The next doubtful pairs (u, v, key, full) of every cell; ``full`` if the cell may have more after them."""
 
     def emit(table, cell):
         fp = _table_prints(table, words)
-        node, side, pop, label, cursor = (table.column(k).to_numpy() for k in ("node", "side", "pop", "label", "cursor"))
+        node, side, pop, label, cursor, size = (table.column(k).to_numpy() for k in ("node", "side", "pop", "label", "cursor", "size"))
         where = [table.column(k).to_numpy() for k in CELL]
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
         for a, b in zip(edge[:-1], edge[1:]):
             s, room = slice(a, b), most + int(b - a)
-            key = pairs_after(side[s], pop[s], fp[s], label[s], radius, doubt, int(cursor[a]), room)
+            key = pairs_after(side[s], pop[s], fp[s], label[s], radius, doubt, int(cursor[a]), room, size[s], similarity)
             if len(key):
                 i, j = a + (key >> 24 & (1 << 24) - 1), a + (key & (1 << 24) - 1)
                 cells = [pa.array(np.repeat(w[a : a + 1], len(key))) for w in where]
@@ -304,7 +323,7 @@ def _untried(radius: int, words: int, doubt: int, most: int):
     return _by_cell(emit)
 
 
-def near_links(points: DataFrame, *, words: int, radius: int, doubt: int = 0, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_links(points: DataFrame, *, words: int, radius: int, doubt: int = 0, similarity: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links (u, v, sure) that join all rows of one block whose fingerprints differ in at most ``radius`` bits.
 
     Up to ``doubt`` bits, links that aren't sure join what the others leave apart
@@ -312,10 +331,11 @@ def near_links(points: DataFrame, *, words: int, radius: int, doubt: int = 0, ti
     further doubtful pairs are to be tried if one of them doesn't.
 
     ``points``: block long, node long, f0.. long, one row for each block of a
-    node. It is read twice, so it should be cheap or written down.
+    node, and with ``doubt`` the size of its set. It is read twice, so it should
+    be cheap or written down.
     """
-    rows = _dealt(_cells(points, words=words, reach=max(radius, doubt), tile_rows=tile_rows))
-    return rows.mapInArrow(_tiles(radius, words, doubt), f"u bigint, v bigint, sure boolean, {_CELL_SCHEMA}")
+    rows = _dealt(_cells(points, words=words, reach=max(radius, doubt), tile_rows=tile_rows, also=("size",) if "size" in points.columns else ()))
+    return rows.mapInArrow(_tiles(radius, words, doubt, similarity), f"u bigint, v bigint, sure boolean, {_CELL_SCHEMA}")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -403,31 +423,78 @@ def _sequence_hash(text: bytes) -> str:
 
 def _wide(texts: pa.Array) -> dict[str, pa.Array]:
     raw = text_bytes(texts)
-    sets = [np.unique(np.array(shingle_hashes(t, WIDE_SHINGLE), np.uint64)) for t in raw]
+    sets = [_set(t) for t in raw]
     ends = np.cumsum([len(s) for s in sets], dtype=np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     prints = majority_bits(flat, ends, WIDE_WORDS).view(np.int64)
     return {
         "seq": pa.array([_sequence_hash(t) for t in raw], pa.string()),
+        "size": pa.array([len(s) for s in sets], pa.int32()),
         "f": pa.array(list(prints), pa.list_(pa.int64())),
         "blocks": pa.array([s[:WIDE_BLOCKS].view(np.int64) for s in sets], pa.list_(pa.int64())),
+        "sketch": pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()),
     }
 
 
+def _set(text: bytes) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, WIDE_SHINGLE), np.uint64))
+
+
 def _node(seq: Column) -> Column:
     """60 bits of a sequence's hash; different sequences meet with a chance of 2**-60 a pair."""
     return F.conv(F.substring(seq, 1, 15), 16, 10).cast("bigint")
 
 
-def _similar(docs: DataFrame, text: str, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets of shingles have the similarity, by the sets themselves."""
+def by_sketch(a: bytes, size_a: int, b: bytes, size_b: int, similarity: float) -> int:
+    """1 if two sets have the similarity, 0 if not, 2 if their sketches leave it open.
+
+    Sets within ``SKETCH`` are their own sketches and decide exactly. Of larger
+    ones the ``SKETCH`` smallest hashes of the union are an even sample of it.
+    """
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.sort(np.concatenate([x, y]))
+    twice = both[1:] == both[:-1]
+    if size_a <= SKETCH and size_b <= SKETCH:
+        common = int(twice.sum())
+        return int(common >= similarity * (size_a + size_b - common))
+    first = np.concatenate([[True], ~twice])
+    at = np.flatnonzero(first)
+    last = at[SKETCH] if len(at) > SKETCH else len(both)  # where the sample ends
+    n = min(SKETCH, len(at))
+    share = int(twice[: last - 1].sum()) / n
+    room = SKETCH_SD * (similarity * (1 - similarity) / n) ** 0.5
+    return 2 if abs(share - similarity) <= room else int(share > similarity)
+
+
+def _similar(docs: DataFrame, doc_id: str, text: str, prints: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets of shingles have the similarity: by their sketches, and where these leave it open by the sets themselves."""
     nodes = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    texts = docs.select(F.col(f"`{text}`").alias("text"), _node(text_udf(_sequence, {"seq": "string"})(F.col(f"`{text}`"))["seq"]).alias("node"))
-    texts = texts.join(bounded(nodes, nodes.count()), "node").groupBy("node").agg(F.min("text").alias("text"))
+    n = nodes.count()
+    mine = prints.join(bounded(nodes, n), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    mine = checkpoint(mine)
+
+    def run(a, m, b, n):
+        rows = zip(a.to_pylist(), m.to_pylist(), b.to_pylist(), n.to_pylist())
+        return pa.array([by_sketch(*r, similarity) for r in rows], pa.int32())
+
+    run.__annotations__ = dict.fromkeys(("a", "m", "b", "n", "return"), pa.Array)
+    side = lambda x, y: mine.select(F.col("node").alias(x), F.col("size").alias(f"{y}_size"), F.col("sketch").alias(f"{y}_sketch"))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    decided = checkpoint(both.select("u", "v", F.arrow_udf(run, "int")("a_sketch", "a_size", "b_sketch", "b_size").alias("d")))
+    passed, unclear = decided.where("d = 1").select("u", "v"), decided.where("d = 2").select("u", "v")
+    if not unclear.limit(1).count():
+        return passed
+    nodes = checkpoint(unclear.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    ids = checkpoint(prints.join(bounded(nodes, nodes.count()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "seq")).alias("w")).select("w.*"))
+    made = text_udf(_sequence, {"seq": "string"})(F.col("text"))["seq"]
+    texts = docs.select(F.col(f"`{doc_id}`").alias("k"), F.col(f"`{text}`").alias("text")).join(bounded(ids, ids.count()), F.col("k").eqNullSafe(F.col("doc_id")))
+    texts = texts.withColumn("made", made).where("made = seq").groupBy(_node(F.col("seq")).alias("node")).agg(F.min("text").alias("text"))
     sets = checkpoint(texts.select("node", text_udf(_sets, {"set": "array<bigint>"})(F.col("text"))["set"].alias("set")))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    both = unclear.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    whole = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return checkpoint(passed.unionByName(whole))
 
 
 def similar_groups(docs: DataFrame, *, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -442,19 +509,21 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, doc_id: str = "d
     pairs that would join what is apart, the closest first, are decided by the
     sets of shingles themselves, until none is left. Texts without words are one group.
     """
-    wide = {"seq": "string", "f": "array<bigint>", "blocks": "array<bigint>"}
+    wide = {"seq": "string", "size": "int", "f": "array<bigint>", "blocks": "array<bigint>", "sketch": "binary"}
     prints = docs.select(F.col(doc_id).alias("doc_id"), text_udf(_wide, wide)(F.col(f"`{text}`")).alias("w"))
-    prints = checkpoint(prints.select("doc_id", "w.*"))
+    # Parquet, since the sketches are read only where pairs are in doubt
+    prints = written(prints.select("doc_id", "w.*").withColumn("node", _node(F.col("seq"))), "prints")
     words = [F.element_at("f", w + 1).alias(f"f{w}") for w in range(WIDE_WORDS)]
-    nodes = prints.groupBy(_node(F.col("seq")).alias("node")).agg(F.min("doc_id").alias("least"), F.min(F.struct("f", "blocks")).alias("w"))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("size", "f", "blocks")).alias("w"))
     nodes = checkpoint(nodes.select("node", "least", "w.*"))
-    points = nodes.select(F.explode("blocks").alias("block"), "node", *words)
+    points = nodes.select(F.explode("blocks").alias("block"), "node", "size", *words)
     mean, sd = wide_distance(similarity)
     bits = {"radius": round(mean - 3 * sd), "doubt": round(mean + 3 * sd)}
-    links = checkpoint(near_links(points, words=WIDE_WORDS, tile_rows=tile_rows, **bits).distinct())
+    decide = lambda pairs: _similar(docs, doc_id, text, prints, pairs, similarity)
+    links = checkpoint(near_links(points, words=WIDE_WORDS, tile_rows=tile_rows, similarity=similarity, **bits).distinct())
     doubtful = checkpoint(links.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *CELL))
     tried = checkpoint(doubtful.select("u", "v").distinct())
-    roots = checkpoint(connected_components(links.where("sure").select("u", "v").unionByName(_similar(docs, text, tried, similarity))))
+    roots = checkpoint(connected_components(links.where("sure").select("u", "v").unionByName(decide(tried))))
     # where all doubtful links of a cell hold, its other doubtful pairs are joined by them; where one doesn't, the others are tried
     ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("u", "v")]
     apart = doubtful.join(ends[0], "u", "left").join(ends[1], "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
@@ -464,26 +533,25 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, doc_id: str = "d
         points = checkpoint(points.join(bounded(cells.select("block").distinct(), n_cells), "block", "left_semi"))
     while n_cells:
         labelled = checkpoint(points.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
-        rows = _cells(labelled, words=WIDE_WORDS, reach=bits["doubt"], tile_rows=tile_rows, also=("label",)).join(bounded(cells, n_cells), list(CELL))
-        got = checkpoint(_dealt(rows).mapInArrow(_untried(bits["radius"], WIDE_WORDS, bits["doubt"], most), f"u bigint, v bigint, key bigint, full boolean, {_CELL_SCHEMA}"))
+        rows = _cells(labelled, words=WIDE_WORDS, reach=bits["doubt"], tile_rows=tile_rows, also=("label", "size")).join(bounded(cells, n_cells), list(CELL))
+        got = checkpoint(_dealt(rows).mapInArrow(_untried(bits["radius"], WIDE_WORDS, bits["doubt"], most, similarity), f"u bigint, v bigint, key bigint, full boolean, {_CELL_SCHEMA}"))
         fresh = checkpoint(got.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
-        passed = checkpoint(_similar(docs, text, fresh, similarity))
+        passed = decide(fresh)
         if passed.limit(1).count():
             roots = checkpoint(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(passed)))
         tried = checkpoint(tried.unionByName(fresh))
         # pairs up to a cell's cursor are tried or joined, and stay so
         cells = checkpoint(got.where("full").groupBy(*CELL).agg(F.max("key").alias("cursor")))
-        n_cells, most = cells.count(), 2 * most
+        n_cells, most = cells.count(), 4 * most
     linked = checkpoint(nodes.select("node", "least").join(roots, "node"))
     heads = checkpoint(linked.groupBy("root").agg(F.min("least").alias("head")))
     moved = checkpoint(linked.join(bounded(heads, heads.count()), "root").select("node", "head"))
     heads = checkpoint(nodes.select("node", "least").join(bounded(moved, moved.count()), "node", "left").select("node", F.coalesce("head", "least").alias("head")))
-    return prints.select("doc_id", "seq", _node(F.col("seq")).alias("node")).join(heads, "node").select("doc_id", "seq", "head")
+    return prints.select("doc_id", "seq", "node").join(heads, "node").select("doc_id", "seq", "head")
 
 
 def _sets(texts: pa.Array) -> dict[str, pa.Array]:
-    sets = [np.unique(np.array(shingle_hashes(t, WIDE_SHINGLE), np.uint64)).view(np.int64) for t in text_bytes(texts)]
-    return {"set": pa.array(sets, pa.list_(pa.int64()))}
+    return {"set": pa.array([_set(t).view(np.int64) for t in text_bytes(texts)], pa.list_(pa.int64()))}
 
 
 def _sequence(texts: pa.Array) -> dict[str, pa.Array]:
