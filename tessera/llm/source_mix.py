@@ -75,16 +75,16 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "sourc
     a uniform shuffle; a hot source spreads evenly. Texts cross the network once.
     """
     rates = source_rates(docs, source=source, weights=weights, size=size)
-    key, draws, table, times = (free_name(docs, x) for x in ("mix_source", "mix_draws", "mix_table", "mix_times"))
+    key, draws, table, times, chance = (free_name(docs, x) for x in ("mix_source", "mix_draws", "mix_table", "mix_times", "mix_uniform"))
     rates = rates.select(F.col("source").alias(key), F.col("draws").alias(draws), F.col("cumulated").alias(table))
     joined = docs.join(bounded(rates, rates.count(), BROADCAST_SOURCES), F.col(f"`{source}`").eqNullSafe(F.col(key)))
     ident = F.col(f"`{doc_id}`")
     one = lambda j: F.size(F.filter(F.col(table), lambda c: c < uniform(seed, ident, j)))
-    single = F.size(F.filter(F.col(table), lambda c: c < F.col(times + "_u")))
-    drawn = joined.withColumn(times + "_u", uniform(seed, ident, F.lit(1))).withColumn(
+    single = F.size(F.filter(F.col(table), lambda c: c < F.col(chance)))
+    drawn = joined.withColumn(chance, uniform(seed, ident, F.lit(1))).withColumn(
         times,
         F.when(F.col(draws) == 1, single).otherwise(F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda acc, j: acc + one(j))),
     )
     copies = drawn.where(F.col(times) > 0).withColumn("replica", F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(ident.cast("string"), F.lit("")), F.col("replica").cast("string")).cast("binary")))
-    return copies.drop(key, draws, table, times, times + "_u").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.drop(key, draws, table, times, chance).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
