@@ -23,16 +23,22 @@ WITH w AS (
   FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id
 ), f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+), g AS (
+  SELECT doc_id, source, base_failed, [base_failed, 20 * n_symbols > n_words, 10 * n_dup_lines > n_words, 100 * n_repeat_words > 10 * n_words, word_chars < 3 * n_words OR word_chars > 12 * n_words] AS fails FROM f
 ), h AS (
-  SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM f GROUP BY source
+  SELECT source, k, count(*) AS n, sum(fails[k]::INT) AS bad FROM g, (SELECT unnest(range(1, 6)) AS k) GROUP BY source, k
 ), prior AS (
-  SELECT avg(bad / n) AS mu, var_pop(bad / n) AS v FROM h
+  SELECT k, avg(bad / n) AS mu, var_pop(bad / n) AS v FROM h GROUP BY k
+), p AS (
+  SELECT k, mu, v, CASE WHEN v <= 1e-12 THEN 1e9 ELSE greatest(mu * (1 - mu) / v - 1, 1.0) END AS s FROM prior
 ), shrunk AS (
-  SELECT source, (bad + s * mu) / (n + s) AS rate
-  FROM h, (SELECT mu, CASE WHEN v <= 1e-12 THEN 1e9 ELSE greatest(mu * (1 - mu) / v - 1, 1.0) END AS s FROM prior)
+  SELECT source, k, (bad + s * mu) / (n + s) AS rate, mu + 1.2815515655446004 * sqrt(mu * (1 - mu) / (s + 1)) AS high, v > 1e-12 AS varied FROM h JOIN p USING (k)
+), verdict AS (
+  SELECT source, bool_or(k = 1 AND rate > 0.5) AS rejected, bool_or(varied AND rate > high) AS watched FROM shrunk GROUP BY source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
-FROM f JOIN shrunk ON f.source IS NOT DISTINCT FROM shrunk.source
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f.base_failed, watched AS host_watched,
+       NOT f.base_failed AND NOT rejected AND NOT (watched AND (20 * n_symbols > n_words OR 10 * n_dup_lines > n_words OR 100 * n_repeat_words > 10 * n_words OR word_chars < 3 * n_words OR word_chars > 12 * n_words)) AS kept
+FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
 
 _OP2 = r"""
@@ -51,19 +57,28 @@ WITH RECURSIVE h AS (
 ), u AS (
   SELECT doc_id, documents.source, j,
          (CAST('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || j::VARCHAR), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM (SELECT doc_id, source, unnest(range(1, draws + 1)) AS j FROM documents JOIN d USING (source)) AS documents
+  FROM (SELECT doc_id, documents.source, unnest(range(1, draws + 1)) AS j FROM documents JOIN d ON documents.source IS NOT DISTINCT FROM d.source) AS documents
 ), times AS (
-  SELECT u.doc_id, count(*) AS times FROM u JOIN c ON c.source = u.source AND c.c < u.u GROUP BY u.doc_id
+  SELECT u.doc_id, count(*) AS times FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.c < u.u GROUP BY u.doc_id
 )
 SELECT documents.*, replica::INT AS replica, md5('shuffle7:' || coalesce(doc_id::VARCHAR, '') || ':' || replica::VARCHAR) AS shuffle_key
 FROM documents JOIN (SELECT doc_id, unnest(range(0, times)) AS replica FROM times) USING (doc_id)
 """
 
 _OP6 = r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS good, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
-  FROM conversations
+WITH q AS (
+  SELECT conv_id, turn, replace(coalesce(role, ''), '<|im_', '<| im_') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text,
+         role IS NOT DISTINCT FROM 'assistant' AND turn IS NOT NULL AS said FROM conversations WHERE conv_id IS NOT NULL
+), e AS (
+  SELECT conv_id, turn AS last_turn, text AS last_text FROM q WHERE said QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1
+), u AS (
+  SELECT q.conv_id AS pair_id, true AS good, turn, role, text FROM q
+  UNION ALL
+  SELECT q.conv_id, false, turn, role, text FROM q LEFT JOIN e USING (conv_id) WHERE last_turn IS NULL OR turn IS NULL OR turn < last_turn
+  UNION ALL
+  SELECT a.conv_id, false, a.last_turn, 'assistant', b.last_text FROM e a JOIN e b ON b.conv_id = xor(a.conv_id, 1)
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, good ORDER BY turn NULLS FIRST, role, text) AS k FROM u
 ), z AS (
   SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.k, r.k) AS k, coalesce(c.role = r.role AND c.text = r.text, false) AS same
   FROM (FROM t WHERE good) c FULL JOIN (FROM t WHERE NOT good) r ON c.pair_id = r.pair_id AND c.k = r.k

@@ -8,10 +8,12 @@ that ends them) as a mask of character spans.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, SHUT = "<|im_start|>", "<|im_end|>\n"
+#: What a mark in a text begins with, and what stands there instead.
+FORGED, HARMLESS = "<|im_", "<| im_"
 
 
 def _render(turns: Column) -> Column:
@@ -37,13 +39,15 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
     ``turns``: pair_id, side (``chosen`` or ``rejected``), turn, role, text;
     other columns don't matter. Turns are ordered by turn, then role and text,
-    nulls first; null roles and texts render as empty, and compare so. Repeated
-    turns are turns. A side that is missing or ends within the common prefix has an empty
+    nulls first; null roles and texts render as empty, and compare so. A mark
+    that a role or text holds itself can't open or end a turn: ``<|im_`` is
+    rendered ``<| im_``. Repeated turns are turns. A side that is missing or ends within the common prefix has an empty
     completion. A pair is ``usable`` if both sides have something to learn.
     Rows of other sides and of null pairs are not part of any pair. A pair is
     gathered once, in one shuffle; only one pair's turns ever stand together.
     """
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(FORGED), F.lit(HARMLESS)).alias(c)
+    turn = F.struct(F.col("turn"), plain("role"), plain("text"))
     side = lambda name: F.sort_array(F.collect_list(F.when(F.col("side") == name, turn))).alias(name)
     pairs = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected")).groupBy("pair_id").agg(side("chosen"), side("rejected"))
     same = lambda c, r: c.isNotNull() & r.isNotNull() & (c["role"] == r["role"]) & (c["text"] == r["text"])
@@ -61,8 +65,25 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     ).withColumn("usable", (F.size("chosen_mask") > 0) & (F.size("rejected_mask") > 0))
 
 
-def pair_by_id(conversations: DataFrame) -> DataFrame:
-    """Turns of conversations 2k (chosen) and 2k + 1 (rejected) as sides of pair k."""
-    return conversations.select(
-        F.expr("conv_id div 2").alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"
+def pair_by_last_turn(conversations: DataFrame) -> DataFrame:
+    """Sides of one pair for each conversation: itself, and its turns up to its last assistant turn, which the last assistant turn of the conversation beside it replaces.
+
+    Conversations 2k and 2k + 1 are beside each other. The last turn is that of
+    the largest (turn, text) with a turn. The rejected side of a conversation
+    without assistant turns is the whole conversation; where the one beside it
+    has none, the rejected side ends before the last assistant turn. Turns of a
+    null conversation belong to no pair. Two conversations' turns meet in one shuffle.
+    """
+    said = F.when((F.col("role") == "assistant") & F.col("turn").isNotNull(), F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))
+    beside = Window.partitionBy(F.expr("conv_id div 2"))
+    even = F.pmod("conv_id", F.lit(2)) == 0
+    rows = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
+    rows = rows.select("*", F.max(F.when(even, said)).over(beside).alias("of_even"), F.max(F.when(~even, said)).over(beside).alias("of_odd"), said.alias("said"))
+    rows = rows.select("*", F.when(even, F.col("of_even")).otherwise(F.col("of_odd")).alias("own"), F.when(even, F.col("of_odd")).otherwise(F.col("of_even")).alias("other"))
+    side = lambda name, text: F.struct(F.lit(name).alias("side"), F.col("turn").alias("turn"), F.col("role").alias("role"), text.alias("text"))
+    before = F.col("own").isNull() | F.col("turn").isNull() | (F.col("turn") < F.col("own")["turn"])
+    last = (F.col("said") == F.col("own")) & F.col("other").isNotNull()
+    sides = F.array(
+        side("chosen", F.col("text")), F.when(before, side("rejected", F.col("text"))), F.when(~before & F.coalesce(last, F.lit(False)), side("rejected", F.col("other")["text"]))
     )
+    return rows.select(F.col("conv_id").alias("pair_id"), F.explode(F.array_compact(sides)).alias("s")).select("pair_id", "s.*")

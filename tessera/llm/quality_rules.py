@@ -1,9 +1,12 @@
 """Quality rules of documents, judged together by host.
 
-Per document a rule either fails or not. Failures are summed by host (which
-combines before it shuffles, so a host with a third of all rows sends one row a
-task), each host's rate is shrunk by a beta prior fitted to the hosts by
-moments, and the verdict is joined back.
+Per document a rule either fails or not. Failures of every rule are summed by
+host (which combines before it shuffles, so a host with a third of all rows
+sends one row a task), each host's rate of each rule is shrunk by a beta prior
+fitted to the hosts by moments, and the verdict is joined back: a host whose
+documents mostly fail is rejected, and one whose shrunk rate of any rule lies
+beyond an upper quantile of that rule's prior is watched, which means that its
+documents have to pass the rules that elsewhere only count.
 """
 
 from __future__ import annotations
@@ -18,8 +21,15 @@ from .common import checkpoint, free_name, text_bytes, text_udf, with_struct
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A host is rejected if its shrunk rate of failing documents exceeds this.
+#: A host is rejected if its shrunk rate of documents that fail the base rules exceeds this.
 HOST_RATE = 0.5
+#: A host is watched if a shrunk rate lies this many standard deviations of the prior above its mean: the upper tenth of a normal.
+WATCH_SD = 1.2815515655446004
+#: What makes documents of a watched host fail, beside the base rules: symbols, equal lines, repeats, word lengths.
+RULES = {
+    "symbols": "20 * n_symbols > n_words", "lines": "10 * n_dup_lines > n_words", "repeats": "100 * n_repeat_words > 10 * n_words",
+    "lengths": "word_chars < 3 * n_words OR word_chars > 12 * n_words",
+}
 #: Host tables up to this many rows are broadcast; larger ones are joined by a shuffle, whose hot hosts AQE splits.
 BROADCAST_HOSTS = 50_000
 
@@ -95,38 +105,48 @@ def measure(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def host_rates(measured: DataFrame, *, host: str = "source", failed: str = "base_failed") -> DataFrame:
-    """One row a host: host, n_docs, n_failed, shrunk_rate. A null host is a host of its own.
+    """One row a host and rule: host, rule, n_docs, n_failed, shrunk_rate, high. A null host is a host of its own.
 
-    The prior's mean m and variance v are those of the hosts' raw rates, hosts
-    weighing alike; its strength is m (1 - m) / v - 1, at least 1, or 1e9 if all hosts
-    have one rate. shrunk_rate = (n_failed + strength * m) / (n_docs + strength).
+    Rules are ``base`` and those of ``RULES``. A rule's prior has the mean m and
+    variance v of the hosts' raw rates, hosts weighing alike; its strength is
+    m (1 - m) / v - 1, at least 1, or 1e9 if all hosts have one rate.
+    shrunk_rate = (n_failed + strength * m) / (n_docs + strength); ``high`` is m
+    and ``WATCH_SD`` standard deviations of the prior, null if all hosts have one rate.
     """
-    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("bigint")).alias("n_failed")
-    )
+    rules = {"base": F.col(failed)} | {name: F.expr(rule) for name, rule in RULES.items()}
+    sums = [F.sum(r.cast("bigint")).alias(f"rule_{name}") for name, r in rules.items()]
+    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *sums)
     hosts = checkpoint(hosts)  # the texts are measured once for this
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"rule_{name}").alias("n_failed")) for name in rules]))
+    hosts = hosts.select("host", "n_docs", each.alias("r")).select("host", "r.rule", "n_docs", "r.n_failed")
     rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers
-    if m is None:
-        return hosts.withColumn("shrunk_rate", F.lit(0.0))
-    strength = 1e9 if v <= 1e-12 else max(m * (1 - m) / v - 1, 1.0)
-    return hosts.withColumn("shrunk_rate", (F.col("n_failed") + strength * m) / (F.col("n_docs") + strength))
+    prior = hosts.groupBy("rule").agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))  # one row a rule
+    strength = F.when(F.col("v") <= 1e-12, F.lit(1e9)).otherwise(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)))
+    out = hosts.join(F.broadcast(prior.withColumn("s", strength)), "rule")
+    high = F.when(F.col("v") > 1e-12, F.col("m") + WATCH_SD * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("s") + 1)))
+    return out.select("host", "rule", "n_docs", "n_failed", ((F.col("n_failed") + F.col("s") * F.col("m")) / (F.col("n_docs") + F.col("s"))).alias("shrunk_rate"), high.alias("high"))
 
 
 def apply_host_rules(docs: DataFrame, *, text: str = "text", host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
-    """``docs`` with the counts, ``base_failed`` and ``kept``.
+    """``docs`` with the counts, ``base_failed``, ``host_watched`` and ``kept``.
 
-    ``kept`` is false where the document fails itself, or where its host's
-    shrunk rate of failing documents exceeds ``host_rate``. An empty table
-    gives an empty result. Hosts are counted before the join: up to
-    ``BROADCAST_HOSTS`` verdicts are broadcast, more are joined by a shuffle.
+    ``kept`` is false where the document fails the base rules itself, where its
+    host's shrunk rate of such documents exceeds ``host_rate``, or where its
+    host is watched and it fails one of ``RULES``. An empty table gives an empty
+    result. Hosts are counted before the join: up to ``BROADCAST_HOSTS``
+    verdicts are broadcast, more are joined by a shuffle.
     """
     measured = measure(docs, text=text)
-    bad = host_rates(measured, host=host).where(F.col("shrunk_rate") > host_rate).select(F.col("host").alias(free_name(measured, "bad_host")))
-    name = bad.columns[0]
-    flag = free_name(measured, "host_rejected")
-    bad = bad.withColumn(flag, F.lit(True))
-    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    name, rejected, watched = (free_name(measured, x) for x in ("bad_host", "host_rejected", "host_seen"))
+    rates = host_rates(measured, host=host).groupBy(F.col("host").alias(name)).agg(
+        F.max((F.col("rule") == "base") & (F.col("shrunk_rate") > host_rate)).alias(rejected),
+        F.coalesce(F.max(F.col("shrunk_rate") > F.col("high")), F.lit(False)).alias(watched),
+    )
+    bad = checkpoint(rates.where(F.col(rejected) | F.col(watched)))
+    if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     joined = measured.join(bad, F.col(f"`{host}`").eqNullSafe(F.col(name)), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col(flag).isNull()).drop(name, flag)
+    strict = F.expr(" OR ".join(f"({rule})" for rule in RULES.values()))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    kept = ~F.col("base_failed") & ~yes(rejected) & ~(yes(watched) & strict)
+    return joined.withColumn("kept", kept).withColumn("host_watched", yes(watched)).drop(name, rejected, watched)

@@ -39,7 +39,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = preference_chat.pair_by_id(read_table(spark, sf_dir, "conversations"))
+    turns = preference_chat.pair_by_last_turn(read_table(spark, sf_dir, "conversations"))
     said = lambda mask: F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(mask)
     return preference_chat.format_preferences(turns).select(
         "pair_id", "n_prompt", "prompt", "chosen", "rejected", said("chosen_mask"), said("rejected_mask"), "usable"
@@ -54,7 +54,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules.apply_host_rules(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_watched"
     )
 
 
