@@ -9,4 +9,4 @@ def test_symbols_beyond_the_table_are_no_letters(spark):
     out = language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     got = {r.doc_id - 100: (r.lang_pred, r.score) for r in out.where("doc_id >= 100").collect()}
     assert got[0] == ("und", 0.0) and got[1][0] == "en" and got[2][0] == "en"
-    assert [int(n) for n in language_id.Trigrams(texts).counts.sum(axis=1)] == [0, 2, 6]
+    assert [int(n) for n in language_id.Trigrams(texts).table().sum(axis=1)] == [0, 2, 6]

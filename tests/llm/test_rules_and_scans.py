@@ -37,6 +37,9 @@ def test_battery_tells_random_from_text():
     for n in (32, 48, 64):
         ps = [secret_scan.battery("".join(rng.choice(alphabet) for _ in range(n))).p for _ in range(200)]
         assert np.median(ps) < 1e-3
+    for alphabet, n in ((string.digits + "ABCDEF", 40), (string.ascii_uppercase + "234567", 40), (string.ascii_letters + string.digits, 24)):
+        ps = [secret_scan.battery("".join(rng.choice(alphabet) for _ in range(n))).p for _ in range(300)]
+        assert np.mean(np.array(ps) <= 1e-3) > 0.8
     words = ["donaudampfschifffahrtsgesellschaft", "ThisIsACamelCaseIdentifierNameForJava", "https/example/com/path/to/page-index", "this_is_a_very_long_snake_case_name", "0123456789012345678901234567", "a" * 40]
     assert all(secret_scan.battery(w).p > 0.05 for w in words)
     short, long = secret_scan.battery("riGp/58WAm+dX3a5IDnO"), secret_scan.battery("riGp/58WAm+dX3a5IDnOZST6IaXqA2h9Uz0+T1SaQ6dDwxlG")
@@ -102,10 +105,26 @@ def test_bad_host_takes_its_documents_along(spark):
 
 def test_rates_are_shrunk_towards_the_prior(spark):
     rows = [(f"h{k}", j < k) for k in range(10) for j in range(20)] + [("one", True)]
-    got = {r.host: r for r in quality_rules.host_rates(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()}
+    counts = ", ".join(f"40L AS {c}" if c == "n_words" else f"200L AS {c}" if c == "word_chars" else f"0L AS {c}" for c in quality_rules.FIELDS)
+    rates = quality_rules.host_rates(spark.createDataFrame(rows, "source string, base_failed boolean").selectExpr("*", *counts.split(", "))).collect()
+    assert {r.rule for r in rates} == {"base", *quality_rules.RULES} and all(r.shrunk_rate == 0 and r.high is None for r in rates if r.rule != "base")
+    got = {r.host: r for r in rates if r.rule == "base"}
+    raw = [sum(f for h, f in rows if h == x) / sum(h == x for h, _ in rows) for x in got]
+    m = np.mean(raw)
+    strength = max(m * (1 - m) / np.var(raw) - 1, 1)
+    assert np.isclose(got["h3"].shrunk_rate, (3 + strength * m) / (20 + strength)) and np.isclose(got["h3"].high, m + quality_rules.WATCH_SD * (m * (1 - m) / (strength + 1)) ** 0.5)
     assert got["one"].shrunk_rate < 1 and 0 < got["h0"].shrunk_rate < 0.1
 
 
+def test_watched_hosts_have_stricter_rules(spark):
+    good = " ".join(f"word{k}" for k in range(40))
+    hashes = good + " ###"
+    rows = [(k, hashes if k % 2 else good, "noisy") for k in range(200)] + [(200 + k, hashes if k % 50 == 0 else good, f"h{k % 8}") for k in range(1600)]
+    got = {r.doc_id: (r.base_failed, r.host_watched, r.kept) for r in quality_rules.apply_host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k] == (False, True, k % 2 == 0) for k in range(200))  # symbols fail documents of the watched host alone
+    assert all(got[k][0] is False and got[k][2] for k in range(200, 1800) if not got[k][1]) and not all(got[k][1] for k in range(200, 1800))
+
+
 def test_rule_edges(odd, empty):
     rows = quality_rules.apply_host_rules(odd("shrunk_rate")).collect()
     assert len(rows) == 10 and all(r.n_words == 0 and not r.kept for r in rows if not (r.text or "").split())
@@ -135,13 +154,17 @@ def test_licences(spark, odd, empty):
 def test_licence_held_out_accuracy():
     prose = [f"plain words {k} of no licence whatever and more".encode() for k in range(300)]
     model = license_scan.fit(prose)
-    held = license_scan.variants(6, 99, [license_scan.tokens(p) for p in prose])
-    p = model.probabilities([license_scan.grams(w) for _, w in held])
+    held = license_scan.variants(6, 99, [license_scan.word_hashes(p)[0] for p in prose])
+    p = model.probabilities([license_scan.row_of(w) for _, w in held])
     assert np.mean(p.argmax(axis=1) == [c for c, _ in held]) > 0.95
 
 
-def test_cover_is_the_common_subsequence():
-    assert license_scan.cover([b"a", b"x", b"b", b"c"], [b"a", b"b", b"c", b"d"]) == 0.75
+def test_templates_confirm_by_alignment():
+    words = lambda t: license_scan.word_hashes(t.encode())[0].tolist()
+    gpl3, mit = license_scan.FAMILIES.index("gpl-3.0"), license_scan.FAMILIES.index("mit")
+    said = "well this work is licensed under the GNU General Public License version {} as we said"
+    assert license_scan.confirm(words(said.format(3)), gpl3) == (1, 13) and license_scan.confirm(words(said.format(2)), gpl3) is None
+    assert license_scan.confirm(words("released many years ago under quite another name the old license"), mit) is None
 
 
 # --- languages ---------------------------------------------------------------------------
@@ -160,17 +183,18 @@ def test_vectors_are_nearly_orthogonal_and_bound_in_order():
     v = language_id.letter_vectors(np.arange(97, 123, dtype=np.uint32)).astype(int)
     dots = np.abs(v @ v.T - 1024 * np.eye(26)) / 1024
     assert dots.max() < 0.2
-    a, b = (language_id.Trigrams([t]).vectors().astype(int)[0] for t in ("abc", "cba"))
+    a, b = (language_id.bound(language_id.Trigrams([t]).keys).astype(int)[0] for t in ("abc", "cba"))
     assert abs(a @ b) / 1024 < 0.2
 
 
 def test_trigram_counts_equal_brute_force():
     texts = ["Abc abca, x!", "", "éé 12 é", "日本語 text"]
     grams = language_id.Trigrams(texts)
+    table = grams.table()
     for i, t in enumerate(texts):
         s = " " + re.sub(r"[^a-zé日本語]+", " ", t.lower()).strip() + " "
         want = Counter(s[k : k + 3] for k in range(len(s) - 2) if s[k + 1] != " ")
-        got = {"".join(chr(c) if c else " " for c in key): n for key, n in zip(grams.keys, grams.counts[i]) if n}
+        got = {"".join(chr(c) if c else " " for c in key): n for key, n in zip(grams.keys, table[i]) if n}
         assert got == want, t
 
 
