@@ -39,9 +39,9 @@ from .common import checkpoint, chunks, crc_mod, small_batches, text_bytes
 COMMON_WORDS = 1 << 17
 CLASSES, MEMBERS = 32, 32
 #: Bits of the codes of the tail.
-BITS = 12
+BITS = 10
 #: Rows of the tables, as powers of two: least, most, and the training tokens a row.
-CLASS_ROWS, MEMBER_ROWS, TAIL_ROWS = (12, 16, 1024), (11, 16, 2048), (12, 22, 16)
+CLASS_ROWS, MEMBER_ROWS, TAIL_ROWS = (15, 16, 1 << 14), (14, 16, 1 << 15), (20, 22, 1 << 7)
 #: Training tokens of a shard, and the most shards (more documents make them longer).
 SHARD_TOKENS, SHARDS = 4_000_000, 4096
 ROUNDS, BATCH, RATE = 2, 1 << 12, 0.12
@@ -165,17 +165,23 @@ def features(model: Model, ids: np.ndarray, before: tuple[np.ndarray, ...]) -> t
     return cls, member, rows, [_slot(m, 4, cls, w1), _slot(m, 5, cls, w2)]
 
 
+_CODES = np.arange(1 << BITS)[:, None] | 1 << BITS
+#: By code: its nodes, numbered like a heap from the root 1, its bits, and a hash of each node.
+_NODES = _CODES >> np.arange(BITS, 0, -1)
+_BITS_OF = ((_CODES >> np.arange(BITS - 1, -1, -1)) & 1).astype(bool)
+_MARKS = _NODES.astype(np.uint64) * np.uint64(_ODD[3])
+
+
 def bits_of(model: Model, keys: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of words of the tail, by row: their codes' bits, the intercept of each, and the places of the weights of its two features."""
-    code = code_of(keys) | 1 << BITS
-    node = code[:, None] >> np.arange(BITS, 0, -1)
-    bit = (code[:, None] >> np.arange(BITS - 1, -1, -1)) & 1
-    mark, mask = node.astype(np.uint64) * np.uint64(_ODD[3]), np.uint64(len(model.tail) - 1)
+    code = code_of(keys)
+    node, bit = _NODES.take(code, axis=0), _BITS_OF.take(code, axis=0)
+    mark, mask = _MARKS.take(code, axis=0), np.uint64(len(model.tail) - 1)
     places = []
     for k, w in enumerate((w1, w2)):
         key = (mark + (w * np.uint64(_ODD[k]) + np.uint64(k))[:, None]) * np.uint64(_ODD[4])
-        places.append(((key >> np.uint64(32)) & mask).astype(np.int64))
-    return bit, model.node_bias[node], places
+        places.append(((key >> np.uint64(32)) & mask).view(np.int64))
+    return bit, model.node_bias.take(node), places
 
 
 def _softmax(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
@@ -213,8 +219,11 @@ def log_probability(model: Model, ids: np.ndarray, keys: np.ndarray, first: np.n
         t = a + np.flatnonzero(tail[s])
         if len(t):
             bit, z, at = bits_of(model, keys[t], before[0][t], before[1][t])
-            z = z + model.tail[at[0]] + model.tail[at[1]]
-            out[t] -= np.logaddexp(0, np.where(bit, -z, z)).sum(axis=1)
+            z += model.tail.take(at[0])
+            z += model.tail.take(at[1])
+            np.clip(z, -20, 20, out=z)
+            np.negative(z, out=z, where=bit)
+            out[t] -= np.log((1 + np.exp(z, out=z)).prod(axis=1, dtype=np.float64))
     return out / np.float32(np.log(10))
 
 
@@ -255,11 +264,15 @@ def learn(model: Model, state: tuple[np.ndarray, np.ndarray, np.ndarray], ids: n
         t = a + np.flatnonzero(tail[s])
         if len(t):
             bit, z, at = bits_of(model, keys[t], before[0][t], before[1][t])
-            z = z + model.tail[at[0]] + model.tail[at[1]]
-            grad = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - bit).astype(np.float32).ravel()
-            where, grad = np.concatenate([x.ravel() for x in at]), np.concatenate([grad, grad])
-            np.add.at(state[2], where, grad * grad)
-            np.add.at(model.tail, where, -RATE * grad / np.sqrt(state[2][where] + np.float32(1e-6)))
+            z += model.tail.take(at[0])
+            z += model.tail.take(at[1])
+            np.clip(z, -20, 20, out=z)
+            np.exp(np.negative(z, out=z), out=z)
+            grad = (1 / (1 + z) - bit).ravel()
+            for where in at:
+                where = where.ravel()
+                np.add.at(state[2], where, grad * grad)
+                np.add.at(model.tail, where, np.float32(-RATE) * grad / np.sqrt(state[2].take(where) + np.float32(1e-6)))
 
 
 def _ids(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
