@@ -32,6 +32,10 @@ def small_batches(spark: SparkSession | None) -> None:
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
 
+#: Bytes of a row group of tables written between steps, which a task holds while it writes.
+ROW_GROUP = 32 << 20
+
+
 def text_bytes(texts: pa.Array) -> list[bytes]:
     """The UTF-8 of each text; nulls are empty."""
     return [b"" if v is None else v for v in texts.cast(pa.binary()).to_pylist()]
@@ -130,7 +134,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -38,7 +38,7 @@ WIDE_SHINGLE, WIDE_WORDS, WIDE_BLOCKS = 5, 4, 16
 CELL = ("block", "t1", "t2")
 _CELL_SCHEMA = "block bigint, t1 int, t2 int"
 #: Doubtful pairs that a cell hands on in the first further round, beside one a row; four times as many in each round after it.
-MORE_PAIRS = 1 << 14
+MORE_PAIRS = 1 << 13
 #: Shingle hashes of a text that are written down for decisions, the smallest ones; a text of fewer has its whole set.
 SKETCH = 1024
 #: Pairs of larger sets are decided by their sketches where these are this many standard deviations from the similarity, else by the whole sets.
@@ -432,10 +432,15 @@ def _wide(texts: pa.Array) -> dict[str, pa.Array]:
         "size": pa.array([len(s) for s in sets], pa.int32()),
         "f": pa.array(list(prints), pa.list_(pa.int64())),
         "blocks": pa.array([s[:WIDE_BLOCKS].view(np.int64) for s in sets], pa.list_(pa.int64())),
-        "sketch": pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()),
+        "sketch": pa.array([_sketch(s).tobytes() for s in sets], pa.binary()),
     }
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the smallest hashes of an ordered set; two different ones of a pair of sets meet with a chance of 2**-32."""
+    return np.unique((hashes[:SKETCH] >> np.uint64(32)).astype(np.uint32))
+
+
 def _set(text: bytes) -> np.ndarray:
     """The distinct shingle hashes in order."""
     return np.unique(np.array(shingle_hashes(text, WIDE_SHINGLE), np.uint64))
@@ -452,7 +457,7 @@ def by_sketch(a: bytes, size_a: int, b: bytes, size_b: int, similarity: float) -
     Sets within ``SKETCH`` are their own sketches and decide exactly. Of larger
     ones the ``SKETCH`` smallest hashes of the union are an even sample of it.
     """
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     both = np.sort(np.concatenate([x, y]))
     twice = both[1:] == both[:-1]
     if size_a <= SKETCH and size_b <= SKETCH:

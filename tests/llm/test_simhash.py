@@ -102,7 +102,9 @@ def test_large_cells_find_what_small_ones_find(monkeypatch):
     assert (a == b).all() and (a == c).all()
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("one_task", [0, components.ONE_TASK])
+def test_components_equal_brute_force(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(7, 7), (None, 3), (1, 0)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
