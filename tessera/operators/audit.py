@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
@@ -128,19 +128,18 @@ def tombstone_without_scan(t: Tables) -> DataFrame:
     return _found(_tombstones(t).where("scan_id IS NULL"), "document_id")
 
 
-def _later(t: Tables, when: str) -> DataFrame:
-    """Tombstones for which a later completed scan of the source has finished ``when`` (a condition on finished_at and occurred_at).
+def _superseding(t: Tables) -> DataFrame:
+    """(scan_id, next_end) of every scan: when the first of the completed scans of its source with a larger completion_seq finished.
 
-    The later scans are looked up by source; scans per source are few against observations.
+    A running minimum over a source's scans, which are control rows; tombstones then meet one row by scan_id, however hot their source.
     """
-    s = t["scan_run"].select("scan_id", "source_id", "completion_seq")
-    mine = _tombstones(t).join(s, "scan_id")
-    later = t["scan_run"].where("status = 'completed'").select(F.col("source_id").alias("s2"), F.col("completion_seq").alias("c2"), F.col("finished_at").alias("f2"))
-    return mine.join(later, F.expr(f"s2 = source_id AND c2 > completion_seq AND f2 {when} occurred_at"), "left_semi")
+    after = Window.partitionBy("source_id").orderBy("completion_seq").rangeBetween(1, Window.unboundedFollowing)
+    end = F.min(F.when(F.col("status") == "completed", F.col("finished_at"))).over(after)
+    return t["scan_run"].where("completion_seq IS NOT NULL").select("scan_id", end.alias("next_end"))
 
 
 def tombstone_from_superseded_scan(t: Tables) -> DataFrame:
-    return _found(_later(t, "<"), "document_id", "scan_id")
+    return _found(_tombstones(t).join(_superseding(t), "scan_id").where("next_end < occurred_at"), "document_id", "scan_id")
 
 
 def tombstoned_without_observation(t: Tables) -> DataFrame:
@@ -148,7 +147,10 @@ def tombstoned_without_observation(t: Tables) -> DataFrame:
 
 
 def completion_tombstone_order_unknown(t: Tables) -> DataFrame:
-    return _found(_later(t, "="), "document_id", "scan_id")
+    """Tombstones written in the very millisecond in which a later scan of the source finished: the scan is met by (source, time)."""
+    scans = t["scan_run"].select("scan_id", "source_id", "completion_seq")
+    done = t["scan_run"].where("status = 'completed'").groupBy("source_id", F.col("finished_at").alias("occurred_at")).agg(F.max("completion_seq").alias("latest"))
+    return _found(_tombstones(t).join(scans, "scan_id").join(done, ["source_id", "occurred_at"]).where("latest > completion_seq"), "document_id", "scan_id")
 
 
 def blob_verified_at_missing(t: Tables) -> DataFrame:
@@ -301,24 +303,40 @@ GUARDS = (
 
 @dataclass
 class Result:
+    """``findings`` are the first of each rule, with the exact number of all; ``rows`` are all of them, by rule, as DataFrames."""
+
     name: str
     status: str
     findings: list[dict] = field(default_factory=list)
     reason: str = ""
+    rows: dict[str, DataFrame] = field(default_factory=dict)
 
 
-#: Findings that a report shows of each rule; counts are exact.
+#: Findings that a report prints of each rule; counts are exact, and ``Result.rows`` holds all.
 SHOWN = 100
 
 
 def _result(name: str, rules: Iterable[tuple[str, Callable[[], DataFrame]]]) -> Result:
     out: list[dict] = []
+    every: dict[str, DataFrame] = {}
     for problem, rule in rules:
         rows = rule()
         n = rows.count()
+        if n:
+            every[problem] = rows
         shown = rows.orderBy("subject", "detail").limit(SHOWN).collect() if n else []
         out += [{"problem": problem, "subject": r["subject"], "detail": r["detail"], "of": n} for r in shown]
-    return Result(name, "violated" if out else "ok", out)
+    return Result(name, "violated" if out else "ok", out, rows=every)
+
+
+def all_findings(results: Iterable[Result]) -> DataFrame | None:
+    """(invariant, problem, subject, detail) of every finding of every rule, none left out; None if there are none."""
+    out = None
+    for r in results:
+        for problem, rows in r.rows.items():
+            rows = rows.select(F.lit(r.name).alias("invariant"), F.lit(problem).alias("problem"), "subject", "detail")
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _guarded(name: str, make: Callable[[], Result]) -> Result:
