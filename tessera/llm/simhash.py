@@ -37,8 +37,10 @@ WIDE_SHINGLE, WIDE_WORDS, WIDE_BLOCKS = 5, 4, 16
 #: What tells the cells of a comparison apart.
 CELL = ("block", "t1", "t2")
 _CELL_SCHEMA = "block bigint, t1 int, t2 int"
-#: Doubtful pairs that a cell hands on in the first further round, beside one a row; four times as many in each round after it.
-MORE_PAIRS = 1 << 13
+#: Rows of one tile of that stage: in doubt they carry sketches of at most 4 kB.
+STAGE_ROWS = 4096
+#: Pairs of a square of which at most this many are in doubt are decided one by one, more by a product of matrices of this many hashes' columns.
+FEW_PAIRS, COLUMNS = 32, 4096
 #: Shingle hashes of a text that are written down for decisions, the smallest ones; a text of fewer has its whole set.
 SKETCH = 1024
 #: Pairs of larger sets are decided by their sketches where these are this many standard deviations from the similarity, else by the whole sets.
@@ -135,12 +137,12 @@ def _sizes_allow(size: np.ndarray | None, i: np.ndarray, j: np.ndarray, similari
 def compare_cells(
     cell: np.ndarray, side: np.ndarray, pop: np.ndarray, fp: np.ndarray, radius: int, doubt: int = 0, size: np.ndarray | None = None, similarity: float = 0.0
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of the rows, and doubtful pairs of rows (two columns of indexes).
+    """Labels of the rows, and whether each row is in a doubtful pair.
 
     Labels are equal for rows of one cell that links within ``radius`` join:
     the smallest index of those. Doubtful pairs differ in more bits, ``doubt``
-    at most, and join what labels leave apart, the closest first (none by default);
-    their sets' sizes (``size``) allow the similarity.
+    at most (none by default), have different labels, and their sets' sizes
+    (``size``) allow the similarity.
 
     Rows come ordered by cell and population count. ``side`` is -1 in a cell
     that is compared within itself; otherwise only rows of side 0 and side 1 are compared.
@@ -163,20 +165,18 @@ def compare_cells(
         found.append((i[hit], j[hit], far[hit]))
     i, j, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     label = _labels(n, i[far <= radius], j[far <= radius])
-    unsure = (far > radius) & _sizes_allow(size, i, j, similarity)
-    doubtful = [(i[unsure], j[unsure], far[unsure])]
+    marked = np.zeros(n, bool)
+    unsure = (far > radius) & (label[i] != label[j]) & _sizes_allow(size, i, j, similarity)
+    marked[i[unsure]] = marked[j[unsure]] = True
     for start, many in zip(edge[sizes > SMALL], sizes[sizes > SMALL]):
         rows = slice(start, start + many)
         for i, j, _ in _squares(rows, side, pop, fp, radius):
             _join(label, np.arange(rows.start, rows.stop), label[i], label[j])
         if doubt > radius:
-            best = (np.zeros(0, np.int64),) * 3
-            for i, j, far in _squares(rows, side, pop, fp, doubt):
+            for i, j, _ in _squares(rows, side, pop, fp, doubt):
                 apart = (label[i] != label[j]) & _sizes_allow(size, i, j, similarity)
-                best = _closest(label, *(np.concatenate(x) for x in zip(best, (i[apart], j[apart], far[apart]))))
-            doubtful.append(best)
-    i, j, far = (np.concatenate(x) for x in zip(*doubtful))
-    return label, _forest(label, *_closest(label, i, j, far))
+                marked[i[apart]] = marked[j[apart]] = True
+    return label, marked
 
 
 def _squares(rows: slice, side: np.ndarray, pop: np.ndarray, fp: np.ndarray, reach: int):
@@ -209,34 +209,6 @@ def _join(label: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> N
         label[own] = np.where(names[place] == label[own], joined[place], label[own])
 
 
-def _closest(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs between the same two labels, one of the smallest distance."""
-    low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-    order = np.lexsort((far, high, low))
-    low, high = low[order], high[order]
-    first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(order) else np.zeros(0, bool)
-    keep = order[first & (low != high)]
-    return i[keep], j[keep], far[keep]
-
-
-def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """The pairs of a smallest spanning forest over the labels."""
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while above.get(x, x) != x:
-            above[x] = x = above.get(above[x], above[x])
-        return x
-
-    out = []
-    for k in np.argsort(far, kind="stable"):
-        a, b = top(int(label[i[k]])), top(int(label[j[k]]))
-        if a != b:
-            above[max(a, b)] = min(a, b)
-            out.append((i[k], j[k]))
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
 def _by_cell(emit):
     """mapInArrow over rows ordered by cell and population count; ``emit`` gets whole cells: a table and the number of each row's cell."""
 
@@ -265,77 +237,125 @@ def _table_prints(table: pa.Table, words: int) -> np.ndarray:
 
 
 def _tiles(radius: int, words: int, doubt: int, similarity: float):
-    """The links (u, v, sure) of every cell; those that aren't sure name their cell."""
+    """The links (u, v) of every cell, and its rows in doubt as (u, null) with their side and cell."""
 
     def emit(table, cell):
-        node = table.column("node").to_numpy()
+        node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
         size = table.column("size").to_numpy() if "size" in table.column_names else None
-        label, doubtful = compare_cells(cell, table.column("side").to_numpy(), table.column("pop").to_numpy(), _table_prints(table, words), radius, doubt, size, similarity)
-        moved = np.flatnonzero(node != node[label])
-        u, v = np.concatenate([moved, doubtful[:, 0]]), np.concatenate([label[moved], doubtful[:, 1]])
+        label, marked = compare_cells(cell, side, table.column("pop").to_numpy(), _table_prints(table, words), radius, doubt, size, similarity)
+        moved, marked = np.flatnonzero(node != node[label]), np.flatnonzero(marked)
+        u = np.concatenate([moved, marked])
         if len(u):
-            sure = np.arange(len(u)) < len(moved)
-            where = [pa.array(table.column(k).to_numpy()[u], mask=sure) for k in CELL]
-            yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(sure), *where], ["u", "v", "sure", *CELL])
+            link = np.arange(len(u)) < len(moved)
+            other = pa.array(np.concatenate([node[label[moved]], np.zeros(len(marked), np.int64)]), mask=~link)
+            where = [pa.array(table.column(k).to_numpy()[u], mask=link) for k in ("side", *CELL)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[u]), other, *where], ["u", "v", "side", *CELL])
 
     return _by_cell(emit)
 
 
-def pairs_after(
-    side: np.ndarray, pop: np.ndarray, fp: np.ndarray, label: np.ndarray, radius: int, doubt: int, cursor: int, most: int, size: np.ndarray | None = None, similarity: float = 0.0
-) -> np.ndarray:
-    """Of one cell's doubtful pairs between different labels the first ``most`` after ``cursor``, closest first, as numbers in that order.
+def similar_in_square(sketches: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Of pairs of rows 1 if their sets have the similarity, 0 if not, 2 if their sketches leave it open, as ``by_sketch`` says.
+
+    Sets that are their own sketches are compared all at once: common hashes are
+    counted by a product of matrices, rows by hashes that at least two rows have.
+    """
+    out = np.zeros(len(i), np.int8)
+    whole = (size[i] <= SKETCH) & (size[j] <= SKETCH)
+    single = ~whole if whole.sum() > FEW_PAIRS else np.ones(len(i), bool)
+    for k in np.flatnonzero(single).tolist():
+        a, b = int(i[k]), int(j[k])
+        out[k] = by_sketch(sketches[a], int(size[a]), sketches[b], int(size[b]), similarity)
+    at = np.flatnonzero(~single)
+    if len(at):
+        rows, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        x, y = place[: len(at)], place[len(at) :]
+        have = [sketches[r] for r in rows]
+        owner = np.repeat(np.arange(len(rows)), [len(h) for h in have])
+        _, hashes, times = np.unique(np.concatenate(have), return_inverse=True, return_counts=True)
+        shared = times > 1
+        column = (np.cumsum(shared) - 1)[hashes]
+        keep = shared[hashes]
+        order = np.argsort(column[keep], kind="stable")
+        column, owner = column[keep][order], owner[keep][order]
+        common = np.zeros((len(rows), len(rows)), np.float32)
+        for c in range(0, int(shared.sum()), COLUMNS):
+            first, last = np.searchsorted(column, [c, c + COLUMNS])
+            m = np.zeros((len(rows), COLUMNS), np.float32)
+            m[owner[first:last], column[first:last] - c] = 1
+            common += m @ m.T
+        n = common[x, y].astype(np.float64)
+        out[at] = n >= similarity * (size[i[at]].astype(np.int64) + size[j[at]] - n)
+    return out
+
+
+def decide_cell(side: np.ndarray, pop: np.ndarray, fp: np.ndarray, size: np.ndarray, label: np.ndarray, sketches: list[np.ndarray], radius: int, doubt: int, similarity: float):
+    """Of one cell the pairs of rows that join what ``label`` leaves apart, a spanning forest of those; and the pairs that sketches leave open.
 
-    A number is (distance, row, row), 16, 24 and 24 bits: the same in every call, as a cell's rows and their order are.
+    Every doubtful pair of rows that are still apart is decided, a square at a
+    time; none is handed on but those that hold. Rows in more bits than
+    ``doubt`` can't be similar, those within ``radius`` are joined already.
     """
-    best, bound = np.zeros(0, np.int64), doubt
+    names, at = np.unique(label, return_inverse=True)
+    above = np.arange(len(names))
+    joined, unclear = [], []
     for i, j, far in _squares(slice(0, len(side)), side, pop, fp, doubt):
-        new = (far > radius) & (far <= bound) & (label[i] != label[j]) & _sizes_allow(size, i, j, similarity)
+        new = (far > radius) & _sizes_allow(size, i, j, similarity)
         if side[0] < 0:
             new &= i < j  # a square of the diagonal has each pair twice
-        i, j, far = i[new], j[new], far[new].astype(np.int64)
-        key = far << 48 | np.minimum(i, j) << 24 | np.maximum(i, j)
-        best = np.concatenate([best, key[key > cursor]])
-        if len(best) > most:
-            best = np.partition(best, most - 1)[:most]
-            bound = int(best.max()) >> 48
-    return np.sort(best)
-
-
-def _untried(radius: int, words: int, doubt: int, most: int, similarity: float):
-    """The next doubtful pairs (u, v, key, full) of every cell; ``full`` if the cell may have more after them."""
+        i, j = i[new], j[new]
+        while not np.array_equal(above, above[above]):
+            above = above[above]
+        apart = above[at[i]] != above[at[j]]
+        i, j = i[apart], j[apart]
+        got = similar_in_square(sketches, size, i, j, similarity)
+        for k in np.flatnonzero(got == 1).tolist():
+            a, b = int(at[i[k]]), int(at[j[k]])
+            while above[a] != a:
+                a = int(above[a])
+            while above[b] != b:
+                b = int(above[b])
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                joined.append((i[k], j[k]))
+        unclear += zip(i[got == 2].tolist(), j[got == 2].tolist())
+    return joined, unclear
+
+
+def _decided(radius: int, words: int, doubt: int, similarity: float):
+    """The links (u, v, true) that hold among the doubtful pairs of every cell, and (u, v, false) those that the whole sets have to decide."""
 
     def emit(table, cell):
         fp = _table_prints(table, words)
-        node, side, pop, label, cursor, size = (table.column(k).to_numpy() for k in ("node", "side", "pop", "label", "cursor", "size"))
-        where = [table.column(k).to_numpy() for k in CELL]
+        node, side, pop, size, label = (table.column(k).to_numpy() for k in ("node", "side", "pop", "size", "label"))
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
         for a, b in zip(edge[:-1], edge[1:]):
-            s, room = slice(a, b), most + int(b - a)
-            key = pairs_after(side[s], pop[s], fp[s], label[s], radius, doubt, int(cursor[a]), room, size[s], similarity)
-            if len(key):
-                i, j = a + (key >> 24 & (1 << 24) - 1), a + (key & (1 << 24) - 1)
-                cells = [pa.array(np.repeat(w[a : a + 1], len(key))) for w in where]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(key), pa.array(np.full(len(key), len(key) == room)), *cells], ["u", "v", "key", "full", *CELL]
-                )
+            s = slice(a, b)
+            if b - a < 2 or (label[s] == label[a]).all():
+                continue
+            sketches = [np.frombuffer(x, np.uint32) for x in table.column("sketch").slice(a, b - a).to_pylist()]
+            joined, unclear = decide_cell(side[s], pop[s], fp[s], size[s], label[s], sketches, radius, doubt, similarity)
+            if joined or unclear:
+                i, j = (node[a + np.array(x, np.int64)] for x in zip(*joined, *unclear))
+                sure = np.arange(len(i)) < len(joined)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(sure)], ["u", "v", "sure"])
 
     return _by_cell(emit)
 
 
 def near_links(points: DataFrame, *, words: int, radius: int, doubt: int = 0, similarity: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Links (u, v, sure) that join all rows of one block whose fingerprints differ in at most ``radius`` bits.
+    """Links (u, v) that join all rows of one block whose fingerprints differ in at most ``radius`` bits.
 
-    Up to ``doubt`` bits, links that aren't sure join what the others leave apart
-    in a tile, if they hold; they name their cell (block, t1, t2), in which
-    further doubtful pairs are to be tried if one of them doesn't.
+    Rows that differ from another one of their block and of their size in more
+    bits, up to ``doubt``, and aren't joined with it, come as (u, null) with
+    their side and cell (block, t1, t2).
 
     ``points``: block long, node long, f0.. long, one row for each block of a
     node, and with ``doubt`` the size of its set. It is read twice, so it should
     be cheap or written down.
     """
     rows = _dealt(_cells(points, words=words, reach=max(radius, doubt), tile_rows=tile_rows, also=("size",) if "size" in points.columns else ()))
-    return rows.mapInArrow(_tiles(radius, words, doubt, similarity), f"u bigint, v bigint, sure boolean, {_CELL_SCHEMA}")
+    return rows.mapInArrow(_tiles(radius, words, doubt, similarity), f"u bigint, v bigint, side int, {_CELL_SCHEMA}")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -386,7 +406,7 @@ def link_fingerprints(points: DataFrame, *, doc_id: str = "doc_id", fp: str = "f
     """
     prints = checkpoint(points.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")))
     links = near_links(band_points(prints), words=1, radius=RADIUS, tile_rows=tile_rows)
-    roots = connected_components(links)
+    roots = connected_components(links.select("u", "v"))
     linked = checkpoint(prints.join(roots, prints["fp"] == roots["node"]).select("fp", "least", "root"))
     heads = checkpoint(linked.groupBy("root").agg(F.min("least").alias("head")))
     moved = checkpoint(linked.join(bounded(heads, heads.count()), "root").select(F.col("fp").alias("moved_fp"), "head"))
@@ -451,13 +471,12 @@ def _node(seq: Column) -> Column:
     return F.conv(F.substring(seq, 1, 15), 16, 10).cast("bigint")
 
 
-def by_sketch(a: bytes, size_a: int, b: bytes, size_b: int, similarity: float) -> int:
+def by_sketch(x: np.ndarray, size_a: int, y: np.ndarray, size_b: int, similarity: float) -> int:
     """1 if two sets have the similarity, 0 if not, 2 if their sketches leave it open.
 
     Sets within ``SKETCH`` are their own sketches and decide exactly. Of larger
     ones the ``SKETCH`` smallest hashes of the union are an even sample of it.
     """
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     both = np.sort(np.concatenate([x, y]))
     twice = both[1:] == both[:-1]
     if size_a <= SKETCH and size_b <= SKETCH:
@@ -472,24 +491,8 @@ def by_sketch(a: bytes, size_a: int, b: bytes, size_b: int, similarity: float) -
     return 2 if abs(share - similarity) <= room else int(share > similarity)
 
 
-def _similar(docs: DataFrame, doc_id: str, text: str, prints: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets of shingles have the similarity: by their sketches, and where these leave it open by the sets themselves."""
-    nodes = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    n = nodes.count()
-    mine = prints.join(bounded(nodes, n), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    mine = checkpoint(mine)
-
-    def run(a, m, b, n):
-        rows = zip(a.to_pylist(), m.to_pylist(), b.to_pylist(), n.to_pylist())
-        return pa.array([by_sketch(*r, similarity) for r in rows], pa.int32())
-
-    run.__annotations__ = dict.fromkeys(("a", "m", "b", "n", "return"), pa.Array)
-    side = lambda x, y: mine.select(F.col("node").alias(x), F.col("size").alias(f"{y}_size"), F.col("sketch").alias(f"{y}_sketch"))
-    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
-    decided = checkpoint(both.select("u", "v", F.arrow_udf(run, "int")("a_sketch", "a_size", "b_sketch", "b_size").alias("d")))
-    passed, unclear = decided.where("d = 1").select("u", "v"), decided.where("d = 2").select("u", "v")
-    if not unclear.limit(1).count():
-        return passed
+def _by_whole_sets(docs: DataFrame, doc_id: str, text: str, prints: DataFrame, unclear: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``unclear`` (u, v) whose sets of shingles have the similarity."""
     nodes = checkpoint(unclear.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     ids = checkpoint(prints.join(bounded(nodes, nodes.count()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "seq")).alias("w")).select("w.*"))
     made = text_udf(_sequence, {"seq": "string"})(F.col("text"))["seq"]
@@ -498,11 +501,10 @@ def _similar(docs: DataFrame, doc_id: str, text: str, prints: DataFrame, pairs:
     sets = checkpoint(texts.select("node", text_udf(_sets, {"set": "array<bigint>"})(F.col("text"))["set"].alias("set")))
     both = unclear.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    whole = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
-    return checkpoint(passed.unionByName(whole))
+    return checkpoint(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
 
-def similar_groups(docs: DataFrame, *, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
+def similar_groups(docs: DataFrame, *, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", tile_rows: int = STAGE_ROWS) -> DataFrame:
     """(doc_id, seq, head) of every row: groups of texts with this similarity of their sets of five-word shingles.
 
     ``seq`` is a hash of the word sequence, ``head`` the smallest id of the
@@ -510,9 +512,12 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, doc_id: str = "d
     that share one of their 16 smallest shingle hashes: two sets of similarity
     0.8 share none with a chance of 0.2 ** 16. In a block their 256-bit
     fingerprints are compared. A distance three standard deviations below that
-    of ``similarity`` is a link, one as far above it is none; between the two,
-    pairs that would join what is apart, the closest first, are decided by the
-    sets of shingles themselves, until none is left. Texts without words are one group.
+    of ``similarity`` is a link, one as far above it is none. Between the two,
+    every pair that these links leave apart is decided by the sets of shingles
+    themselves, where their rows meet in a task: rows in doubt carry sketches
+    there, and only links that hold leave it. Pairs of sets larger than their
+    sketches that these leave open are decided by the whole sets. Texts without
+    words are one group.
     """
     wide = {"seq": "string", "size": "int", "f": "array<bigint>", "blocks": "array<bigint>", "sketch": "binary"}
     prints = docs.select(F.col(doc_id).alias("doc_id"), text_udf(_wide, wide)(F.col(f"`{text}`")).alias("w"))
@@ -524,30 +529,25 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, doc_id: str = "d
     points = nodes.select(F.explode("blocks").alias("block"), "node", "size", *words)
     mean, sd = wide_distance(similarity)
     bits = {"radius": round(mean - 3 * sd), "doubt": round(mean + 3 * sd)}
-    decide = lambda pairs: _similar(docs, doc_id, text, prints, pairs, similarity)
-    links = checkpoint(near_links(points, words=WIDE_WORDS, tile_rows=tile_rows, similarity=similarity, **bits).distinct())
-    doubtful = checkpoint(links.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *CELL))
-    tried = checkpoint(doubtful.select("u", "v").distinct())
-    roots = checkpoint(connected_components(links.where("sure").select("u", "v").unionByName(decide(tried))))
-    # where all doubtful links of a cell hold, its other doubtful pairs are joined by them; where one doesn't, the others are tried
-    ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("u", "v")]
-    apart = doubtful.join(ends[0], "u", "left").join(ends[1], "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
-    cells = checkpoint(apart.select(*CELL, F.lit(-1).cast("bigint").alias("cursor")).distinct())
-    n_cells, most = cells.count(), MORE_PAIRS
-    if n_cells:
-        points = checkpoint(points.join(bounded(cells.select("block").distinct(), n_cells), "block", "left_semi"))
-    while n_cells:
-        labelled = checkpoint(points.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
-        rows = _cells(labelled, words=WIDE_WORDS, reach=bits["doubt"], tile_rows=tile_rows, also=("label", "size")).join(bounded(cells, n_cells), list(CELL))
-        got = checkpoint(_dealt(rows).mapInArrow(_untried(bits["radius"], WIDE_WORDS, bits["doubt"], most, similarity), f"u bigint, v bigint, key bigint, full boolean, {_CELL_SCHEMA}"))
-        fresh = checkpoint(got.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
-        passed = decide(fresh)
-        if passed.limit(1).count():
-            roots = checkpoint(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(passed)))
-        tried = checkpoint(tried.unionByName(fresh))
-        # pairs up to a cell's cursor are tried or joined, and stay so
-        cells = checkpoint(got.where("full").groupBy(*CELL).agg(F.max("key").alias("cursor")))
-        n_cells, most = cells.count(), 4 * most
+    found = written(near_links(points, words=WIDE_WORDS, tile_rows=tile_rows, similarity=similarity, **bits), "near")
+    links = found.where("v IS NOT NULL").select("u", "v")
+    roots = checkpoint(connected_components(links))
+    marks = found.where("v IS NULL").select(F.col("u").alias("node"), "side", *CELL)
+    doubted = checkpoint(marks.select("node").distinct())
+    n_doubted = doubted.count()
+    if n_doubted:
+        mine = prints.join(bounded(doubted, n_doubted), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "f", "sketch")])
+        pop = sum((F.bit_count(f"f{w}") for w in range(1, WIDE_WORDS)), F.bit_count("f0")).cast("int")
+        mine = written(mine.join(roots, "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("label"), *words).withColumn("pop", pop), "doubted")
+        run = _decided(bits["radius"], WIDE_WORDS, bits["doubt"], similarity)
+        got = written(_dealt(marks.join(mine, "node")).mapInArrow(run, "u bigint, v bigint, sure boolean"), "decided")
+        links = links.unionByName(got.where("sure").select("u", "v"))
+        roots = checkpoint(connected_components(links))
+        ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("u", "v")]
+        unclear = got.where("NOT sure").select("u", "v").distinct().join(ends[0], "u", "left").join(ends[1], "v", "left")
+        unclear = checkpoint(unclear.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
+        if unclear.limit(1).count():
+            roots = checkpoint(connected_components(links.unionByName(_by_whole_sets(docs, doc_id, text, prints, unclear, similarity))))
     linked = checkpoint(nodes.select("node", "least").join(roots, "node"))
     heads = checkpoint(linked.groupBy("root").agg(F.min("least").alias("head")))
     moved = checkpoint(linked.join(bounded(heads, heads.count()), "root").select("node", "head"))

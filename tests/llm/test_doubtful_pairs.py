@@ -2,8 +2,6 @@
 
 import random
 
-import numpy as np
-
 from tessera.llm import simhash
 
 
@@ -30,26 +28,10 @@ def brute_groups(texts):
     return dict(enumerate(head))
 
 
-def test_no_pair_is_lost_behind_one_that_fails(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "MORE_PAIRS", 1500)  # more than one round
+def test_no_pair_is_lost_behind_one_that_fails(spark):
     texts = [t for seed in range(4) for t in family(seed)]
     want = brute_groups(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.head for r in simhash.similar_groups(docs).collect()}
-    assert len(set(want.values())) > 4 and got == want
-
-
-def test_pairs_come_in_order_and_each_once():
-    rng = np.random.default_rng(3)
-    fp = rng.integers(0, 1 << 12, (90, 1), dtype=np.uint64)
-    pop = np.bitwise_count(fp[:, 0]).astype(np.int64)
-    order = np.argsort(pop, kind="stable")
-    fp, pop, label = fp[order], pop[order], rng.integers(0, 30, 90)
-    for side in (np.full(90, -1), rng.integers(0, 2, 90)):
-        got, cursor = [], -1
-        while len(new := simhash.pairs_after(side, pop, fp, label, 2, 5, cursor, 50)):
-            got += new.tolist()
-            cursor = got[-1]
-        far = lambda i, j: int(fp[i, 0] ^ fp[j, 0]).bit_count()
-        want = [(far(i, j), i, j) for i in range(90) for j in range(i + 1, 90) if 2 < far(i, j) <= 5 and label[i] != label[j] and (side[i] < 0 or side[i] != side[j])]
-        assert [(k >> 48, k >> 24 & 0xFFFFFF, k & 0xFFFFFF) for k in got] == sorted(want)
+    for tile_rows in (30, simhash.STAGE_ROWS):
+        got = {r.doc_id: r.head for r in simhash.similar_groups(docs, tile_rows=tile_rows).collect()}
+        assert len(set(want.values())) > 4 and got == want

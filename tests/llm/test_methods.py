@@ -169,10 +169,25 @@ def test_sketches_decide_as_sets_do():
             a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n - len(both), dtype=np.uint64)])) for _ in range(2))
             common = len(np.intersect1d(a, b))
             want = int(common >= 0.8 * (len(a) + len(b) - common))
-            got = simhash.by_sketch(simhash._sketch(a).tobytes(), len(a), simhash._sketch(b).tobytes(), len(b), 0.8)
+            got = simhash.by_sketch(simhash._sketch(a), len(a), simhash._sketch(b), len(b), 0.8)
             assert got == want or (got == 2 and n > simhash.SKETCH)
 
 
+def test_squares_decide_as_pairs_do(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 100)
+    rng = np.random.default_rng(20)
+    base = rng.integers(0, 1 << 63, 1400, dtype=np.uint64)
+    sets = []
+    for k in range(60):
+        keep = base[rng.random(len(base)) < rng.uniform(0.6, 1)][: 1400 if k % 10 == 0 else 900]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, 30, dtype=np.uint64)])))
+    sketches, size = [simhash._sketch(s) for s in sets], np.array([len(s) for s in sets])
+    i, j = np.triu_indices(60, 1)
+    got = simhash.similar_in_square(sketches, size, i, j, 0.6)
+    want = [simhash.by_sketch(sketches[a], size[a], sketches[b], size[b], 0.6) for a, b in zip(i, j)]
+    assert got.tolist() == want and {0, 1} <= set(want)
+
+
 def test_large_sets_in_doubt_are_decided_whole(spark):
     """Two pairs just above and just below the similarity, of more shingles than a sketch holds."""
     rng = random.Random(18)
