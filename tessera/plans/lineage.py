@@ -392,10 +392,13 @@ def snapshot_diff(t: Tables) -> DataFrame:
     return out.select("key", "change", F.col("column").alias("col"), "before", "after")
 
 
-@query("""SELECT * FROM (SELECT DISTINCT event_type AS kind, user_id AS document_id FROM events WHERE event_id % 9 = 0) EXCEPT SELECT DISTINCT event_type, user_id FROM events WHERE event_id % 9 = 1""")
+@query("""WITH b AS (SELECT DISTINCT event_type AS kind, user_id::VARCHAR AS d FROM events WHERE event_id % 2 = 0), a AS (SELECT DISTINCT event_type AS kind, user_id::VARCHAR AS d FROM events WHERE event_id % 2 = 1)
+  SELECT kind || chr(0) || d AS key, 'added' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT kind || chr(0) || d, 'removed' FROM (FROM b EXCEPT FROM a)""")
 def kind_set_diff(t: Tables) -> DataFrame:
-    e = t.raw("events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("document_id"), "event_id")
-    return e.where("event_id % 9 = 0").select("kind", "document_id").subtract(e.where("event_id % 9 = 1").select("kind", "document_id"))
+    """Observation kinds of two states; every event is in one of them."""
+    e = t.raw("events").select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("document_id"), "event_id")
+    out = snapshot.diff_snapshots({"observation": e.where("event_id % 2 = 0")}, {"observation": e.where("event_id % 2 = 1")})
+    return out.select("key", "change")
 
 
 # --- views -------------------------------------------------------------------------------
