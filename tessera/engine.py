@@ -27,6 +27,14 @@ from .sources import folder, office
 
 LEASE_SECONDS = 120
 WORKER = "office-parser"
+#: How often a commit starts again from newer tables before it gives up.
+COMMITS = 5
+
+
+def _as_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the columns and types of a stored table; columns it lacks are null."""
+    fields = [f.split(" ", 1) for f in TABLES[name].split(", ")]
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in fields])
 
 
 class Engine:
@@ -37,6 +45,7 @@ class Engine:
         self.store = Store(spark, root)
         self.clock = clock or (lambda: int(time.time() * 1000))
         self.new_id = new_id or (lambda: str(uuid.uuid4()))
+        self.worker = f"{WORKER}:{uuid.uuid4().hex}"
         self.blob_root = os.path.join(root, "blobs")
         if self.store.latest() == 0:
             self.store.publish(self.store.pin(), {n: spark.createDataFrame([], ddl) for n, ddl in TABLES.items()}, {"scans": [], "roots": {}})
@@ -104,38 +113,68 @@ class Engine:
         s = self.snapshot()
         self.store.publish(s, {}, self._control(s, scan.fail_scan(self._scans(s), scan_id, reason, self.clock())))
 
-    def _derive(self, candidates: DataFrame, compute: Callable[[DataFrame], DataFrame], kind: str) -> dict[str, int]:
-        """Claims what can be claimed of ``candidates``, computes it, and commits all of it at once.
+    def _derive(self, candidates: DataFrame, compute: Callable[[DataFrame], DataFrame], kind: str, gate: Callable[..., None] | None = None) -> dict[str, int]:
+        """Claims what can be claimed of ``candidates`` and publishes that, computes it, and commits what its leases still cover.
 
         ``candidates``: the derivation's columns and what ``compute`` needs;
-        ``compute`` adds content and error.
+        ``compute`` adds content and error; ``gate`` may refuse the outputs. A
+        derivation that comes out otherwise than stored is noted as failed, the
+        rest is committed, and the error is raised in the end.
         """
         s = self.snapshot()
-        now = self.clock()
-        new, runs = derive.claim(candidates, s["processing_run"], s["document_version"], worker_id=WORKER, lease_seconds=LEASE_SECONDS, now_ms=now)
-        run_columns = [f.split()[0] for f in TABLES["processing_run"].split(", ")]
-        derivation_columns = [f.split()[0] for f in TABLES["derivation"].split(", ")]
-        artifact_columns = [f.split()[0] for f in TABLES["artifact"].split(", ")]
+        new, runs = derive.claim(candidates, s["processing_run"], s["document_version"], worker_id=self.worker, lease_seconds=LEASE_SECONDS, now_ms=self.clock())
+        if new.select("run_id").isEmpty():
+            return {"claimed": 0, "succeeded": 0}
+        self.store.publish(s, {"processing_run": _as_table(runs, "processing_run")}, s.control)
         done = self._keep(compute(new))
-        good = done.where("content IS NOT NULL")
+        for left in reversed(range(COMMITS)):
+            try:
+                n, divergent = self._commit(done, kind, gate)
+                break
+            except errors.ManifestConflictError:
+                if not left:
+                    raise
+        derive.assert_no_divergence(divergent)
+        return n
+
+    def _commit(self, done: DataFrame, kind: str, gate: Callable[..., None] | None) -> tuple[dict[str, int], DataFrame]:
+        s, now = self.snapshot(), self.clock()
+        claims = done.select("run_id", F.lit(self.worker).alias("claimed_by"), F.col("derivation_key").alias("claimed_key"))
+        checked = self._keep(derive.check_leases(claims, s["processing_run"], now))
+        held = done.join(checked.where("mismatch IS NULL").select("run_id"), "run_id", "left_semi")
+        good = held.where("content IS NOT NULL")
+        at = F.lit(now).cast("bigint").alias("created_at")
         drafts = good.select(
             "derivation_key", "document_id", "root_version_id", F.lit(0).cast("bigint").alias("ordinal"), F.lit(kind).alias("type"), F.col("content").alias("inline_content"),
-            *[F.lit(None).cast(t).alias(c) for c, t in (("blob_key", "string"), ("content_hash", "string"), ("size_bytes", "bigint"))], F.lit(now).cast("bigint").alias("created_at"),
+            *[F.lit(None).cast(t).alias(c) for c, t in (("blob_key", "string"), ("content_hash", "string"), ("size_bytes", "bigint"))], at,
         )
-        heads = good.select("derivation_key", "processor_name", "processor_version", "config_hash", "input_ids", "root_version_id", "document_id", F.lit(now).cast("bigint").alias("created_at"))
+        heads = good.select("derivation_key", "processor_name", "processor_version", "config_hash", "input_ids", "root_version_id", "document_id", at)
+        if gate is not None:
+            gate(heads.withColumn("artifact_count", F.lit(1).cast("bigint")), derive.draft_artifacts(drafts), s)
         derivations, artifacts, divergent = derive.commit(heads, drafts, s["derivation"], s["artifact"])
-        derive.assert_no_divergence(divergent)
-        ended = done.select("run_id", F.when(F.col("content").isNotNull(), "succeeded").otherwise("failed").alias("ended"), F.col("error").alias("why"))
-        runs = runs.select(*[c for c in run_columns if c in runs.columns], *[F.lit(None).alias(c) for c in run_columns if c not in runs.columns]).join(ended, "run_id", "left")
-        runs = runs.withColumns({
-            "status": F.coalesce("ended", "status"), "error_kind": F.coalesce("why", F.col("error_kind").cast("string")), "finished_at": F.when(F.col("ended").isNotNull(), F.lit(now).cast("bigint")).otherwise(F.col("finished_at").cast("bigint")),
+        divergent = self._keep(divergent)
+        other = divergent.select("derivation_key", F.lit(errors.DerivationDivergenceError.code).alias("other"))
+        ended = self._keep(held.select("run_id", "derivation_key", "document_id", "attempt", "permanent", "error", F.col("content").isNotNull().alias("fine")).join(other, "derivation_key", "left"))
+        ended = ended.withColumns({"fine": F.col("fine") & F.col("other").isNull(), "error": F.coalesce("other", "error")})
+        change = ended.select("run_id", F.when(F.col("fine"), "succeeded").otherwise("failed").alias("ended"), F.when(~F.col("fine"), F.coalesce("error", F.lit("unknown"))).alias("why"))
+        runs = s["processing_run"].join(change, "run_id", "left").withColumns({
+            "status": F.coalesce("ended", "status"), "error_kind": F.coalesce("why", "error_kind"),
+            "finished_at": F.when(F.col("ended").isNotNull(), F.lit(now).cast("bigint")).otherwise(F.col("finished_at")),
         })
-        cast = lambda df, name, cols: df.select(*[F.col(c).cast(t).alias(c) for c, t in (f.split(" ", 1) for f in TABLES[name].split(", ")) if c in cols])
-        self.store.publish(s, {
-            "processing_run": cast(runs, "processing_run", run_columns), "derivation": cast(derivations, "derivation", derivation_columns), "artifact": cast(artifacts, "artifact", artifact_columns),
-        }, s.control)
-        n = done.agg(F.count(F.lit(1)), F.count("content")).first()
-        return {"claimed": n[0], "succeeded": n[1]}
+        tables = {"processing_run": _as_table(runs, "processing_run"), "derivation": _as_table(derivations, "derivation"), "artifact": _as_table(artifacts, "artifact")}
+        told = derive.run_failures(ended.where("NOT fine")).withColumn("slot", F.lit(2))
+        told = told.unionByName(derive.divergence_observations(divergent, s["derivation"], ended).withColumn("slot", F.lit(1)))
+        told = told.unionByName(derive.stale_worker_observations(checked, "commit").withColumn("slot", F.lit(0)), allowMissingColumns=True)
+        told = self._keep(told.withColumn("version_id", F.lit(None).cast("string")))
+        n_told = told.count()
+        if n_told:
+            order = scan.in_hex_order(told.select("run_id").distinct(), "run_id", n_told)
+            last = s["observation"].agg(F.coalesce(F.max("observation_seq"), F.lit(0))).first()[0]
+            rows = scan.number_observations(told.join(order, "run_id"), last, None, now)
+            tables["observation"] = s["observation"].unionByName(_as_table(rows, "observation"))
+        self.store.publish(s, tables, s.control)
+        n = done.agg(F.count(F.lit(1))).first()[0]
+        return {"claimed": n, "succeeded": ended.where("fine").count()}, divergent
 
     def parse(self, *, isolated: bool = False) -> dict[str, int]:
         """Parses every active Word and Excel version that isn't parsed yet. Failures can be tried again."""
@@ -150,11 +189,10 @@ class Engine:
 
         def compute(new: DataFrame) -> DataFrame:
             hashes = t["document_version"].select(F.col("version_id").alias("root_version_id"), "blob_key", "content_hash")
-            files = blob_files.stored_blobs(self.spark, self.blob_root).withColumnRenamed("content", "bytes")
-            j = new.join(hashes, "root_version_id").join(files, "blob_key", "left")
-            whole = F.sha2("bytes", 256) == F.col("content_hash")
-            r = j.withColumn("r", office.parsed_column(F.when(whole, F.col("bytes")), F.col("form"), isolated=isolated))
-            return r.withColumns({"content": F.col("r.content"), "error": F.col("r.error")}).drop("r", "bytes", "blob_key", "content_hash")
+            # blobs are read by key where their rows are, so the store's other blobs cost nothing
+            data = blob_files.blob_column(self.blob_root, F.col("blob_key"), F.col("content_hash"))
+            r = new.join(hashes, "root_version_id").withColumn("r", office.parsed_column(data, F.col("form"), isolated=isolated))
+            return r.withColumns({"content": F.col("r.content"), "error": F.col("r.error")}).drop("r", "blob_key", "content_hash")
 
         return self._derive(rows, compute, "parsed_document")
 
@@ -171,7 +209,7 @@ class Engine:
             r = new.withColumn("r", normalize.normalized_column(F.col("parsed")))
             return r.withColumns({"content": F.col("r.content"), "error": F.col("r.error")}).drop("r", "parsed", "parent")
 
-        return self._derive(rows, compute, "normalized_document")
+        return self._derive(rows, compute, "normalized_document", gate=normalize.check_commit)
 
     def audit(self, **context) -> list[audit.Result]:
         return audit.check_invariants(self.tables(), **context)

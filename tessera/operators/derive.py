@@ -98,6 +98,23 @@ def stale_worker_observations(claims: DataFrame, operation: str) -> DataFrame:
     return bad.select(F.lit("stale_worker_rejected").alias("kind"), "run_id", F.to_json(F.struct(F.lit(operation).alias("operation"), F.col("claimed_by").alias("workerId"), "mismatch")).alias("detail"))
 
 
+def run_failures(failed: DataFrame) -> DataFrame:
+    """(kind, document_id, run_id, detail) of runs that ended in ``error``."""
+    detail = F.struct(F.coalesce("error", F.lit("unknown")).alias("errorKind"), F.coalesce("permanent", F.lit(False)).alias("permanent"), "attempt")
+    return failed.select(F.lit("run_failed").alias("kind"), "document_id", "run_id", F.to_json(detail).alias("detail"))
+
+
+def divergence_observations(divergences: DataFrame, stored: DataFrame, runs: DataFrame) -> DataFrame:
+    """(kind, document_id, run_id, detail) of derivations that came out otherwise than what is stored; ``runs``: derivation_key, run_id."""
+    old = stored.select("derivation_key", F.col("outputs_hash").alias("stored_hash"), F.col("artifact_count").alias("stored_count"))
+    detail = F.struct(
+        F.col("derivation_key").alias("derivationKey"), F.col("stored_hash").alias("storedOutputsHash"), F.col("stored_count").alias("storedArtifactCount"),
+        F.col("outputs_hash").alias("incomingOutputsHash"), F.col("artifact_count").alias("incomingArtifactCount"),
+    )
+    rows = divergences.join(old, "derivation_key").join(runs.select("derivation_key", "run_id"), "derivation_key")
+    return rows.select(F.lit("derivation_output_divergence").alias("kind"), "document_id", "run_id", F.to_json(detail).alias("detail"))
+
+
 # --- commits -----------------------------------------------------------------------------
 
 
@@ -144,7 +161,7 @@ def commit(derivations: DataFrame, drafts: DataFrame, stored_derivations: DataFr
     return (
         stored_derivations.unionByName(created.drop("result", "contiguous"), allowMissingColumns=True),
         stored_artifacts.unionByName(artifacts.join(rows, "derivation_key", "left_semi"), allowMissingColumns=True),
-        plan.where("result = 'divergent'").select("derivation_key", "outputs_hash"),
+        plan.where("result = 'divergent'").select("derivation_key", "document_id", "outputs_hash", "artifact_count"),
     )
 
 
@@ -179,6 +196,19 @@ def upsert_acl(stored: DataFrame, drafts: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
+def acl_observations(stored: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(kind, document_id, detail) of every draft against the rules before it: changed, not fetched, or not fetched with the synced ones kept."""
+    had = stored.select("document_id", "tenant_id", F.col("state").alias("had"))
+    j = drafts.join(had, ["document_id", "tenant_id"], "left")
+    kept = (F.col("state") == "unknown") & F.coalesce(F.col("had") == "synced", F.lit(False))
+    tenant = F.col("tenant_id").alias("tenantId")
+    told = F.to_json(F.struct(tenant, F.lit(True).alias("keptExistingSynced"), F.col("last_error").alias("error")), {"ignoreNullFields": "false"})
+    return j.select(
+        F.when(F.col("state") == "synced", "acl_changed").otherwise("acl_fetch_failed").alias("kind"), "document_id",
+        F.when(kept, told).otherwise(F.to_json(F.struct(tenant, "state"))).alias("detail"),
+    )
+
+
 # --- reading back ------------------------------------------------------------------------
 
 

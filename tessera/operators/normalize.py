@@ -237,6 +237,19 @@ def members_of(normalized: DataFrame, key: str, content: str = "content") -> Dat
     )
 
 
+def check_commit(heads: DataFrame, artifacts: DataFrame, t: dict[str, DataFrame]) -> None:
+    """Refuses derivations (with counts) and artifacts that ``normalization_findings`` would find fault with, before they are stored."""
+    parents = heads.select(F.explode(F.from_json("input_ids", "array<string>")).alias("artifact_id")).distinct()
+    keys = t["artifact"].join(parents, "artifact_id", "left_semi").select("derivation_key").distinct()
+    near = lambda name: t[name].join(keys, "derivation_key", "left_semi")
+    checked = {
+        "artifact": near("artifact").unionByName(artifacts, allowMissingColumns=True), "derivation": near("derivation").unionByName(heads, allowMissingColumns=True), "processing_run": near("processing_run"),
+    }
+    bad = normalization_findings(checked).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].subject} can't be stored as normalised: {bad[0].detail}")
+
+
 def normalization_findings(t: dict[str, DataFrame]) -> DataFrame:
     """Findings (subject, detail) of normalised artifacts whose shape, parent, or contents don't add up.
 

@@ -247,18 +247,30 @@ def scan_observations(moved: DataFrame, skipped: DataFrame, renames: DataFrame |
     return out
 
 
-def number_observations(rows: DataFrame, base: int, scan_id: str, now_ms: int) -> DataFrame:
+def in_hex_order(rows: DataFrame, digest: str, n: int) -> DataFrame:
+    """``rows`` (``n`` of them) with ``enum_seq`` in the order of a column of hex digests.
+
+    The first digits cut the order into even stretches, each with room for all rows.
+    """
+    order = F.row_number().over(Window.partitionBy(F.substring(digest, 1, 3)).orderBy(digest))
+    room = (n // NUMBERED + 1) * NUMBERED
+    return rows.withColumn("enum_seq", F.conv(F.substring(digest, 1, 3), 16, 10).cast("bigint") * room + order)
+
+
+def number_observations(rows: DataFrame, base: int, scan_id: str | None, now_ms: int) -> DataFrame:
     """Dense sequence numbers after ``base`` in the order of (enum_seq, slot), without one task seeing all rows.
 
     Rows are numbered within stretches of enum_seq; the stretches' sizes are a small table.
+    Rows that belong to runs instead of a scan have their ``run_id``.
     """
     rows = rows.withColumn("part", F.floor(F.col("enum_seq") / NUMBERED))
     sizes = rows.groupBy("part").count()
     offsets = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     seq = F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy("enum_seq", "slot", "document_id")) + base
     out = rows.join(offsets, "part").withColumn("observation_seq", seq)
-    ident = F.concat_ws("-", F.lit(scan_id), F.col("observation_seq").cast("string"))
-    return out.select("observation_seq", ident.alias("observation_id"), "kind", "document_id", "version_id", F.lit(scan_id).alias("scan_id"), F.lit(None).cast("string").alias("run_id"), F.lit(now_ms).cast("bigint").alias("occurred_at"), "detail")
+    ident = F.concat_ws("-", F.lit(scan_id or "run"), F.col("observation_seq").cast("string"))
+    run = F.col("run_id") if "run_id" in rows.columns else F.lit(None)
+    return out.select("observation_seq", ident.alias("observation_id"), "kind", "document_id", "version_id", F.lit(scan_id).cast("string").alias("scan_id"), run.cast("string").alias("run_id"), F.lit(now_ms).cast("bigint").alias("occurred_at"), "detail")
 
 
 def merge_documents(documents: DataFrame, moved: DataFrame, scan: Scan, now_ms: int) -> DataFrame:
@@ -449,10 +461,7 @@ def apply_deletions(state: State, scan: Scan, now_ms: int, keep: Callable[[DataF
     n = missing.count()
     if n:
         rows = deletion_observations(missing)
-        order = F.row_number().over(Window.partitionBy(F.substring("document_id", 1, 3)).orderBy("document_id"))
-        # ids are hex digests: their first digits cut the order into even stretches
-        stretch = F.conv(F.substring("document_id", 1, 3), 16, 10).cast("bigint") * NUMBERED
-        ordered = missing.select("document_id", (stretch + order).alias("enum_seq"))
+        ordered = in_hex_order(missing.select("document_id"), "document_id", n)
         state.document = keep(tombstone(state.document, missing, now_ms))
         _append(state, rows.join(ordered, "document_id"), scan.scan_id, now_ms, keep)
     state.scans = mark_deletion_applied(state.scans, scan)

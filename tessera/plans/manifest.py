@@ -2,7 +2,7 @@
 
 Plain Parquet has no transactions, so a version of the store is a manifest: a
 small JSON file that names the folder of each table. Tables are written first;
-publishing creates the next manifest's file, which only one writer can do. A
+publishing gives the next manifest its name, which only one writer can do. A
 reader pins one version, and everything it reads is of that version, whatever
 is published meanwhile.
 
@@ -12,6 +12,7 @@ The file system calls go through Hadoop, so the store may lie wherever Spark rea
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterable, Mapping
 
@@ -66,14 +67,32 @@ class Store:
             df.write.parquet(folder)
             folders[name] = folder
         body = json.dumps({"version": version, "tables": folders, "control": dict(control if control is not None else base.control)})
+        aside = f"{self.root}/manifests/{uuid.uuid4().hex}.aside"
+        out = self._fs.create(self._path(aside), False)
+        out.write(bytearray(body.encode()))
+        out.close()
         try:
-            out = self._fs.create(self._path(self._manifest(version)), False)  # not over an existing file: one writer wins
+            self._place(aside, self._manifest(version))
         except Exception as error:
             raise errors.ManifestConflictError(f"version {version} is published already") from error
-        out.write(bytearray(body.encode()))
-        out.close()
+        finally:
+            self._fs.delete(self._path(aside), False)
         return self.pin(version)
 
+    def _place(self, aside: str, name: str) -> None:
+        """Gives a whole file its name, if nothing has that name: one writer wins, and no reader sees half a manifest.
+
+        Hadoop's rename decides that in the file system, but not in a local one; there a link does.
+        """
+        if self._fs.getUri().getScheme() == "file":
+            files = [self._fs.makeQualified(self._path(p)).toUri().getPath() for p in (aside, name)]
+            os.link(*files)
+            return
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        context = jvm.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+        context.rename(self._path(aside), self._path(name), options)
+
     # --- backup and checks -----------------------------------------------------------
 
     def backup(self, to: str, blobs: DataFrame | None = None) -> None:

@@ -6,6 +6,7 @@ import hashlib
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +105,22 @@ def stored_blobs(spark: SparkSession, root: str) -> DataFrame:
     return files.where(F.col("path").rlike("/[0-9a-f]{2}/[0-9a-f]+$")).select(F.array_join(tail, "").alias("blob_key"), "content")
 
 
+def blob_column(root: str, key: Column, content_hash: Column) -> Column:
+    """The bytes under a key, read by the task that has the row; null if they are missing or hash to something else."""
+
+    def run(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        store, out = BlobStore(root), []
+        for k, h in zip(keys.to_pylist(), hashes.to_pylist()):
+            try:
+                out.append(store.get(k, h) if k and h else None)
+            except (OSError, ValueError, errors.BlobDivergenceError):
+                out.append(None)
+        return pa.array(out, pa.large_binary())
+
+    run.__annotations__ = {"keys": pa.Array, "hashes": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "binary")(key, content_hash)
+
+
 def verify_references(references: DataFrame, blobs: DataFrame) -> DataFrame:
     """``references`` (blob_key, content_hash, ...) with ``verified``: the bytes are there and hash to it."""
     have = blobs.select("blob_key", F.sha2("content", 256).alias("actual_hash"))
