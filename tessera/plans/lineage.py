@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..operators import derive, scan, snapshot, views
+from . import manifest
 from .standin import Tables, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,8 +276,12 @@ def insert_if_absent(t: Tables) -> DataFrame:
 
 @query("SELECT source_id, arg_max(scan_id, completion_seq) AS scan_id, max(completion_seq) AS completion_seq, arg_max(deletion_state, completion_seq) = 'pending' AS pending FROM scan_run WHERE status = 'completed' GROUP BY source_id", "scan_run")
 def latest_completed(t: Tables) -> DataFrame:
-    g = t["scan_run"].where("status = 'completed'").groupBy("source_id").agg(F.max_by(F.struct("scan_id", "completion_seq", "deletion_state"), "completion_seq").alias("l"))
-    return g.select("source_id", "l.scan_id", "l.completion_seq", (F.col("l.deletion_state") == "pending").alias("pending"))
+    """Scans are control rows, which the lifecycle keeps in the driver."""
+    rows = t["scan_run"].select("scan_id", "source_id", "started_at", "start_seq", "status", "completion_seq", "deletion_state").collect()
+    scans = tuple(scan.Scan(count_ratio_threshold_bp=9000, missing_ratio_threshold_bp=1000, **r.asDict()) for r in rows)
+    last = [x for x in (scan.latest_completed(scans, s) for s in sorted({r.source_id for r in rows})) if x]
+    out = [(x.source_id, x.scan_id, x.completion_seq, scan.find_pending_deletion(scans, x.source_id) == x.scan_id) for x in last]
+    return t["scan_run"].sparkSession.createDataFrame(out, "source_id string, scan_id string, completion_seq bigint, pending boolean")
 
 
 @query("SELECT DISTINCT source_id FROM document WHERE state = 'active' AND source_id NOT IN ('src0', 'src1', 'src2')", "document")
@@ -343,12 +348,13 @@ def divergence(t: Tables) -> DataFrame:
     return derive.plan_commit(derive.outputs_of(t["artifact"]).drop("contiguous"), t["derivation"].select("derivation_key", "artifact_count", "outputs_hash"))
 
 
-@query(f"""WITH s AS (SELECT doc_id::VARCHAR AS document_id, 't0' AS tenant_id, CASE WHEN quality = 1 THEN 'synced' ELSE 'unknown' END AS state, doc_id % 3 AS p FROM labels WHERE doc_id % 3 <> 2),
+_ACL = """WITH s AS (SELECT doc_id::VARCHAR AS document_id, 't0' AS tenant_id, CASE WHEN quality = 1 THEN 'synced' ELSE 'unknown' END AS state, doc_id % 3 AS p FROM labels WHERE doc_id % 3 <> 2),
 n AS (SELECT doc_id::VARCHAR AS document_id, 't0' AS tenant_id, CASE WHEN toxic = 1 THEN 'unknown' ELSE 'synced' END AS state, doc_id FROM labels WHERE doc_id % 3 <> 1)
-SELECT coalesce(s.document_id, n.document_id) AS document_id, CASE WHEN n.document_id IS NULL OR (n.state = 'unknown' AND s.state = 'synced') THEN s.state ELSE n.state END AS state,
-  CASE WHEN n.document_id IS NULL OR (n.state = 'unknown' AND s.state = 'synced') THEN 'old' ELSE CASE WHEN n.state = 'synced' THEN 'a,b' ELSE '' END END AS principals,
-  CASE WHEN n.document_id IS NOT NULL THEN {NOW} END AS last_attempt_at FROM s FULL JOIN n ON s.document_id = n.document_id""")
-def acl_upsert(t: Tables) -> DataFrame:
+"""
+
+
+def _acl(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Stored access rules and drafts, made from the labels."""
     lab, none = t.raw("labels"), F.lit(None)
     key = [F.col("doc_id").cast("string").alias("document_id"), F.lit("t0").alias("tenant_id")]
     stored = lab.where("doc_id % 3 <> 2").select(
@@ -360,7 +366,39 @@ def acl_upsert(t: Tables) -> DataFrame:
         *key, F.when(synced, "synced").otherwise("unknown").alias("state"), F.when(synced, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("principals"),
         none.cast("string").alias("classification"), F.lit("n").alias("acl_hash"), F.when(~synced, "timeout").alias("last_error"),
     )
-    return derive.upsert_acl(stored, drafts, NOW).select("document_id", "state", F.array_join("principals", ",").alias("principals"), "last_attempt_at")
+    return stored, drafts
+
+
+@query(_ACL + f"""SELECT coalesce(s.document_id, n.document_id) AS document_id, CASE WHEN n.document_id IS NULL OR (n.state = 'unknown' AND s.state = 'synced') THEN s.state ELSE n.state END AS state,
+  CASE WHEN n.document_id IS NULL OR (n.state = 'unknown' AND s.state = 'synced') THEN 'old' ELSE CASE WHEN n.state = 'synced' THEN 'a,b' ELSE '' END END AS principals,
+  CASE WHEN n.document_id IS NOT NULL THEN {NOW} END AS last_attempt_at FROM s FULL JOIN n ON s.document_id = n.document_id""")
+def acl_upsert(t: Tables) -> DataFrame:
+    return derive.upsert_acl(*_acl(t), NOW).select("document_id", "state", F.array_join("principals", ",").alias("principals"), "last_attempt_at")
+
+
+@query(_ACL + """SELECT CASE n.state WHEN 'synced' THEN 'acl_changed' ELSE 'acl_fetch_failed' END AS kind, n.document_id,
+  CASE WHEN n.state = 'unknown' AND s.state = 'synced' THEN '{"tenantId":"t0","keptExistingSynced":true,"error":"timeout"}' ELSE '{"tenantId":"t0","state":"' || n.state || '"}' END AS detail
+  FROM n LEFT JOIN s USING (document_id)""")
+def acl_observations(t: Tables) -> DataFrame:
+    return derive.acl_observations(*_acl(t))
+
+
+@query("""SELECT 'run_failed' AS kind, run_id, '{"errorKind":"' || CASE WHEN attempt % 2 = 0 THEN 'timeout' ELSE 'unknown' END || '","permanent":' || CASE WHEN permanent THEN 'true' ELSE 'false' END
+  || ',"attempt":' || attempt::VARCHAR || '}' AS detail FROM processing_run WHERE status = 'failed'""", "processing_run")
+def run_failures(t: Tables) -> DataFrame:
+    failed = t["processing_run"].where("status = 'failed'").withColumns({"document_id": F.lit(None).cast("string"), "error": F.when(F.col("attempt") % 2 == 0, "timeout")})
+    return derive.run_failures(failed).drop("document_id")
+
+
+@query("""WITH o AS (SELECT derivation_key, count(*) AS n, sha256('out:' || string_agg(artifact_id || ':' || content_hash, chr(0) ORDER BY ordinal)) AS h FROM artifact GROUP BY derivation_key)
+SELECT 'derivation_output_divergence' AS kind, d.document_id, 'run-' || d.derivation_key AS run_id, '{"derivationKey":"' || d.derivation_key || '","storedOutputsHash":"' || d.outputs_hash || '","storedArtifactCount":'
+  || d.artifact_count::VARCHAR || ',"incomingOutputsHash":"' || o.h || '","incomingArtifactCount":' || o.n::VARCHAR || '}' AS detail
+FROM derivation d JOIN o USING (derivation_key) WHERE o.n <> d.artifact_count OR o.h <> d.outputs_hash""", "artifact", "derivation")
+def derivation_divergences(t: Tables) -> DataFrame:
+    stored = t["derivation"]
+    plan = derive.plan_commit(derive.outputs_of(t["artifact"]).drop("contiguous").join(stored.select("derivation_key", "document_id"), "derivation_key"), stored)
+    runs = stored.select("derivation_key", F.concat(F.lit("run-"), "derivation_key").alias("run_id"))
+    return derive.divergence_observations(plan.where("result = 'divergent'"), stored, runs)
 
 
 @query("""SELECT a.artifact_id, v.document_id, doc.source_id, doc.stable_key, CASE WHEN d.derivation_key IS NULL THEN 'derivation' WHEN v.version_id IS NULL THEN 'version' WHEN doc.document_id IS NULL THEN 'document' END AS broken
@@ -504,9 +542,9 @@ def normalized_totals(t: Tables) -> DataFrame:
     return views.normalized_totals(_members(t))
 
 
-@query("""WITH f AS (SELECT 'source' AS t, sha256(string_agg(r, chr(10) ORDER BY r)) AS digest FROM (SELECT md5(n_nationkey::VARCHAR || '|' || n_name) AS r FROM nation))
-SELECT t, digest FROM f""")
+@query("""WITH h AS (SELECT sha256('{"r_name":' || to_json(r_name)::VARCHAR || ',"r_regionkey":' || r_regionkey::VARCHAR || '}') AS h FROM region)
+SELECT 'region' AS t, concat_ws(':', count(*), sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT), sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT), bit_xor(('0x' || substr(h, 31, 15))::BIGINT)) AS digest FROM h""")
 def table_digest(t: Tables) -> DataFrame:
-    """A digest of all rows of a small table, whatever their order."""
-    rows = t.raw("nation").select(F.md5(F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name").cast("binary")).alias("r"))
-    return rows.agg(F.lit("source").alias("t"), F.sha2(F.array_join(F.array_sort(F.collect_list("r")), "\n").cast("binary"), 256).alias("digest"))
+    """The digest of a table that backups and upgrades compare."""
+    rows = t.raw("region").select("r_regionkey", "r_name")
+    return rows.sparkSession.createDataFrame([("region", manifest.table_digest(rows))], "t string, digest string")
