@@ -1,5 +1,7 @@
 """Derivations, snapshots, views and the audit's rules on planted defects."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,9 @@ def test_access_rules(spark):
     assert (got["a"].state, got["a"].principals, got["a"].last_error, got["a"].synced_at) == ("synced", ["x"], "timeout", 1)
     assert (got["b"].state, got["b"].principals, got["b"].synced_at) == ("synced", ["y", "z"], 9)
     assert got["c"].state == "unknown" and got["c"].synced_at is None
+    told = {r.document_id: (r.kind, json.loads(r.detail)) for r in derive.acl_observations(stored, new).collect()}
+    assert told["a"] == ("acl_fetch_failed", {"tenantId": "t", "keptExistingSynced": True, "error": "timeout"}) and told["b"][0] == "acl_changed"
+    assert told["c"] == ("acl_fetch_failed", {"tenantId": "t", "state": "unknown"})
     with pytest.raises(ValueError):
         derive.upsert_acl(stored, spark.createDataFrame([("a", "t", "unknown", ["x"], None, "n", None)], schema), 9)
 

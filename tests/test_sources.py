@@ -7,6 +7,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.engine import Engine
 from tessera.functions import errors
@@ -243,6 +244,16 @@ def test_one_writer_wins_and_readers_are_pinned(spark, tmp_path):
     assert json.load(open(tmp_path / "backup" / "COMPLETE.json"))["tables"] == ["t", "u"]
 
 
+def test_half_written_manifests_are_not_seen(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    one = store.publish(store.pin(), {"t": spark.range(3)})
+    (tmp_path / "store" / "manifests" / "0.aside").write_text("{")  # a writer that stopped
+    assert store.latest() == 1 and store.publish(one, {}).version == 2
+    with pytest.raises(FileExistsError):
+        store._place(str(tmp_path / "store" / "manifests" / "0.aside"), store._manifest(2))
+    assert not [p for p in os.listdir(tmp_path / "store" / "manifests") if p.endswith(".aside") and p != "0.aside"]
+
+
 def test_digests_and_upgrade(spark, tmp_path):
     a = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
     assert table_digest(a) == table_digest(a.orderBy(a.a.desc()).select("b", "a")) != table_digest(a.limit(1))
@@ -290,6 +301,45 @@ def test_engine(spark, tree, tmp_path):
     assert (tmp_path / "copy" / "COMPLETE.json").exists()
 
 
+def test_divergence_and_late_workers_are_noted(spark, tree, tmp_path):
+    now = itertools.count(1_700_000_000_000)
+    late = []
+    e = Engine(spark, str(tmp_path / "data"), clock=lambda: next(now) + sum(late), new_id=lambda: f"scan{next(now)}")
+    e.scan(e.register(str(tree), "test"))
+    kinds = lambda kind: e.snapshot()["observation"].where(f"kind = '{kind}'")
+    compute = e._keep
+
+    def slow(df):
+        late.append(1_000_000)  # the lease runs out meanwhile
+        return compute(df)
+
+    e._keep = slow
+    assert e.parse() == {"claimed": 3, "succeeded": 0} and kinds("stale_worker_rejected").count() == 3 and e.snapshot()["artifact"].count() == 0
+    e._keep = compute
+    assert e.parse() == {"claimed": 3, "succeeded": 2} and kinds("run_failed").count() == 1
+    assert {r.attempt for r in e.snapshot()["processing_run"].where("status <> 'abandoned'").collect()} == {2}
+    s = e.snapshot()
+    keys = sorted(r.derivation_key for r in s["derivation"].collect())
+    stored = s["derivation"].withColumn("outputs_hash", F.when(F.col("derivation_key") == keys[0], "other").otherwise(F.col("outputs_hash"))).where(F.col("derivation_key") == keys[0])
+    e.store.publish(s, {"derivation": stored, "artifact": s["artifact"].limit(0), "processing_run": s["processing_run"].limit(0)})
+    with pytest.raises(errors.DerivationDivergenceError):
+        e.parse()
+    # the divergent derivation is noted, the other one committed
+    assert [json.loads(r.detail)["derivationKey"] for r in kinds("derivation_output_divergence").collect()] == [keys[0]]
+    assert {r.derivation_key for r in e.snapshot()["artifact"].collect()} == {keys[1]}
+    assert e.snapshot()["processing_run"].where("error_kind = 'derivation_divergence' AND status = 'failed'").count() == 1
+    seq = [r.observation_seq for r in e.snapshot()["observation"].collect()]
+    assert sorted(seq) == list(range(1, len(seq) + 1))
+    # a normalised artifact of another content is refused
+    with pytest.raises(ValueError):
+        e._derive(_normalised(e), lambda new: new.withColumns({"content": F.lit("{}"), "error": F.lit(None).cast("string")}), "normalized_document", gate=normalize.check_commit)
+
+
+def _normalised(e):
+    a = e.snapshot()["artifact"].select("document_id", "root_version_id", F.to_json(F.array("artifact_id")).alias("input_ids"))
+    return a.select("*", F.lit("k").alias("derivation_key"), F.lit(normalize.NORMALIZER_NAME).alias("processor_name"), F.lit("1").alias("processor_version"), F.lit(normalize.config_hash()).alias("config_hash"))
+
+
 def test_interrupted_and_failed_scans(spark, tmp_path):
     n = itertools.count(1)
     e = Engine(spark, str(tmp_path / "data"), clock=lambda: next(n), new_id=lambda: f"scan{next(n)}")
