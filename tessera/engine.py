@@ -11,8 +11,10 @@ from __future__ import annotations
 import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,7 @@ class Engine:
         self.store = Store(spark, root)
         self.clock = clock or (lambda: int(time.time() * 1000))
         self.new_id = new_id or (lambda: str(uuid.uuid4()))
+        self.work = f"{root}/work"
         self.worker = f"{WORKER}:{uuid.uuid4().hex}"
         self.blob_root = os.path.join(root, "blobs")
         if self.store.latest() == 0:
@@ -62,10 +65,19 @@ class Engine:
         return {**s.control, "scans": [asdict(x) for x in scans]}
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/work/{uuid.uuid4().hex}"
+        path = f"{self.work}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    @contextmanager
+    def _working(self) -> Iterator[None]:
+        """A command's own folder for what it keeps on the way, gone when it ends."""
+        self.work = f"{self.root}/work/{uuid.uuid4().hex}"
+        try:
+            yield
+        finally:
+            self.store.discard(self.work)
+
     def tables(self, s: Snapshot | None = None) -> dict[str, DataFrame]:
         """All tables of a version, the scans among them."""
         s = s or self.snapshot()
@@ -101,13 +113,16 @@ class Engine:
 
         def step() -> None:
             nonlocal current
-            changed = {n: getattr(state, n) for n in names if getattr(state, n) is not last[n]}
-            current = self.store.publish(current, changed, self._control(current, state.scans))
-            for n in changed:
+            added = {n: reduce(DataFrame.unionByName, rows) for n, rows in state.added.items()}
+            changed = {n: getattr(state, n) for n in names if getattr(state, n) is not last[n] and n not in added}
+            current = self.store.publish(current, changed, self._control(current, state.scans), added)
+            state.added.clear()
+            for n in (*changed, *added):
                 last[n] = current[n]
                 setattr(state, n, last[n])
 
-        return scan.run_scan(state, source_id, items, scan_id=self.new_id(), now_ms=self.clock(), keep=self._keep, review=review, interrupted=interrupted, step=step, **thresholds)
+        with self._working():
+            return scan.run_scan(state, source_id, items, scan_id=self.new_id(), now_ms=self.clock(), keep=self._keep, review=review, interrupted=interrupted, step=step, **thresholds)
 
     def fail_scan(self, scan_id: str, reason: str) -> None:
         s = self.snapshot()
@@ -126,15 +141,16 @@ class Engine:
         if new.select("run_id").isEmpty():
             return {"claimed": 0, "succeeded": 0}
         self.store.publish(s, {"processing_run": _as_table(runs, "processing_run")}, s.control)
-        done = self._keep(compute(new))
-        for left in reversed(range(COMMITS)):
-            try:
-                n, divergent = self._commit(done, kind, gate)
-                break
-            except errors.ManifestConflictError:
-                if not left:
-                    raise
-        derive.assert_no_divergence(divergent)
+        with self._working():
+            done = self._keep(compute(new))
+            for left in reversed(range(COMMITS)):
+                try:
+                    n, divergent = self._commit(done, kind, gate)
+                    break
+                except errors.ManifestConflictError:
+                    if not left:
+                        raise
+            derive.assert_no_divergence(divergent)
         return n
 
     def _commit(self, done: DataFrame, kind: str, gate: Callable[..., None] | None) -> tuple[dict[str, int], DataFrame]:
@@ -151,7 +167,7 @@ class Engine:
         heads = good.select("derivation_key", "processor_name", "processor_version", "config_hash", "input_ids", "root_version_id", "document_id", at)
         if gate is not None:
             gate(heads.withColumn("artifact_count", F.lit(1).cast("bigint")), derive.draft_artifacts(drafts), s)
-        derivations, artifacts, divergent = derive.commit(heads, drafts, s["derivation"], s["artifact"])
+        derivations, artifacts, divergent = derive.commit_rows(heads, drafts, s["derivation"])
         divergent = self._keep(divergent)
         other = divergent.select("derivation_key", F.lit(errors.DerivationDivergenceError.code).alias("other"))
         ended = self._keep(held.select("run_id", "derivation_key", "document_id", "attempt", "permanent", "error", F.col("content").isNotNull().alias("fine")).join(other, "derivation_key", "left"))
@@ -161,7 +177,7 @@ class Engine:
             "status": F.coalesce("ended", "status"), "error_kind": F.coalesce("why", "error_kind"),
             "finished_at": F.when(F.col("ended").isNotNull(), F.lit(now).cast("bigint")).otherwise(F.col("finished_at")),
         })
-        tables = {"processing_run": _as_table(runs, "processing_run"), "derivation": _as_table(derivations, "derivation"), "artifact": _as_table(artifacts, "artifact")}
+        added = {"derivation": self._keep(derivations), "artifact": self._keep(artifacts)}
         told = derive.run_failures(ended.where("NOT fine")).withColumn("slot", F.lit(2))
         told = told.unionByName(derive.divergence_observations(divergent, s["derivation"], ended).withColumn("slot", F.lit(1)))
         told = told.unionByName(derive.stale_worker_observations(checked, "commit").withColumn("slot", F.lit(0)), allowMissingColumns=True)
@@ -171,8 +187,8 @@ class Engine:
             order = scan.in_hex_order(told.select("run_id").distinct(), "run_id", n_told)
             last = s["observation"].agg(F.coalesce(F.max("observation_seq"), F.lit(0))).first()[0]
             rows = scan.number_observations(told.join(order, "run_id"), last, None, now)
-            tables["observation"] = s["observation"].unionByName(_as_table(rows, "observation"))
-        self.store.publish(s, tables, s.control)
+            added["observation"] = rows
+        self.store.publish(s, {"processing_run": _as_table(runs, "processing_run")}, s.control, added)
         n = done.agg(F.count(F.lit(1))).first()[0]
         return {"claimed": n, "succeeded": ended.where("fine").count()}, divergent
 

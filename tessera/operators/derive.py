@@ -145,7 +145,13 @@ def plan_commit(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def commit(derivations: DataFrame, drafts: DataFrame, stored_derivations: DataFrame, stored_artifacts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(derivations after, artifacts after, divergences). All or nothing a key: a divergent key adds no row.
+    """(derivations after, artifacts after, divergences) of ``commit_rows``."""
+    heads, artifacts, divergent = commit_rows(derivations, drafts, stored_derivations)
+    return stored_derivations.unionByName(heads, allowMissingColumns=True), stored_artifacts.unionByName(artifacts, allowMissingColumns=True), divergent
+
+
+def commit_rows(derivations: DataFrame, drafts: DataFrame, stored_derivations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new derivations, new artifacts, divergences). All or nothing a key: a divergent key adds no row.
 
     ``derivations``: derivation_key, document_id, root_version_id and whatever
     else the stored table has beside counts and hashes.
@@ -159,8 +165,8 @@ def commit(derivations: DataFrame, drafts: DataFrame, stored_derivations: DataFr
     created = plan.where("result = 'created'")
     rows = created.select("derivation_key")
     return (
-        stored_derivations.unionByName(created.drop("result", "contiguous"), allowMissingColumns=True),
-        stored_artifacts.unionByName(artifacts.join(rows, "derivation_key", "left_semi"), allowMissingColumns=True),
+        created.drop("result", "contiguous"),
+        artifacts.join(rows, "derivation_key", "left_semi"),
         plan.where("result = 'divergent'").select("derivation_key", "document_id", "outputs_hash", "artifact_count"),
     )
 

@@ -387,7 +387,10 @@ def orphaned_sources(documents: DataFrame, known: Iterable[str]) -> DataFrame:
 
 @dataclass
 class State:
-    """The tables, and the scans as rows. DataFrames here should be written down between steps (``keep`` of ``run_scan``)."""
+    """The tables, and the scans as rows. DataFrames here should be written down between steps (``keep`` of ``run_scan``).
+
+    ``added``: the rows by which tables grew since they were last stored, of those tables that only grow.
+    """
 
     source: DataFrame
     document: DataFrame
@@ -395,6 +398,11 @@ class State:
     observation: DataFrame
     rename_candidate: DataFrame | None = None
     scans: Scans = ()
+    added: dict[str, list[DataFrame]] = field(default_factory=dict)
+
+    def grow(self, name: str, rows: DataFrame) -> None:
+        setattr(self, name, getattr(self, name).unionByName(rows, allowMissingColumns=True))
+        self.added.setdefault(name, []).append(rows)
 
 
 @dataclass
@@ -408,7 +416,7 @@ class Report:
 
 def _append(state: State, rows: DataFrame, scan_id: str, now_ms: int, keep: Callable[[DataFrame], DataFrame]) -> None:
     base = state.observation.agg(F.coalesce(F.max("observation_seq"), F.lit(0))).first()[0]
-    state.observation = keep(state.observation.unionByName(number_observations(rows, base, scan_id, now_ms)))
+    state.grow("observation", keep(number_observations(rows, base, scan_id, now_ms)))
 
 
 def ingest(state: State, scan: Scan, items: DataFrame, now_ms: int, keep: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
@@ -418,13 +426,12 @@ def ingest(state: State, scan: Scan, items: DataFrame, now_ms: int, keep: Callab
     entries = with_document_ids(observed_entries(items), state.source)
     created = state.observation.where("kind = 'version_created'").select("version_id")
     moved = keep(transitions(entries, state.document, state.document_version, created, scan.scan_id))
-    versions = new_versions(moved, state.document_version, scan, now_ms)
+    versions = keep(new_versions(moved, state.document_version, scan, now_ms))
     told = scan_observations(moved, skipped, state.rename_candidate)
     if state.rename_candidate is not None:
         state.rename_candidate = keep(recheck_renames(state.rename_candidate, moved.where("revived")))
-    versions = keep(state.document_version.unionByName(versions, allowMissingColumns=True))
-    documents = keep(merge_documents(state.document, moved, scan, now_ms))
-    state.document_version, state.document = versions, documents
+    state.document = keep(merge_documents(state.document, moved, scan, now_ms))
+    state.grow("document_version", versions)
     _append(state, told, scan.scan_id, now_ms, keep)
     n = moved.agg(
         F.count(F.lit(1)), F.countDistinct("document_id"), *[F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0)) for c in ("discovered", "revived", "creates", "collides", "same_print")],

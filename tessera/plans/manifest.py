@@ -1,10 +1,11 @@
 """Snapshots of all tables, published together.
 
 Plain Parquet has no transactions, so a version of the store is a manifest: a
-small JSON file that names the folder of each table. Tables are written first;
+small JSON file that names the folders of each table. Tables are written first;
 publishing gives the next manifest its name, which only one writer can do. A
 reader pins one version, and everything it reads is of that version, whatever
-is published meanwhile.
+is published meanwhile. Rows that are only added go to a folder of their own
+beside those of the versions before, so an append costs what it adds.
 
 The file system calls go through Hadoop, so the store may lie wherever Spark reads.
 """
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions import errors
 
+#: A table of so many folders is written as one at its next append.
+MOST_FOLDERS = 64
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -52,20 +56,34 @@ class Store:
     def pin(self, version: int | None = None) -> Snapshot:
         return Snapshot(self, self._read(self.latest() if version is None else version))
 
-    def publish(self, base: Snapshot, tables: Mapping[str, DataFrame], control: Mapping | None = None) -> Snapshot:
-        """The next version: ``base`` with these tables in place of its own.
+    def _write(self, name: str, version: int, df: DataFrame) -> str:
+        folder = f"{self.root}/tables/{name}/{version:012d}-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        return folder
+
+    def publish(self, base: Snapshot, tables: Mapping[str, DataFrame], control: Mapping | None = None, appends: Mapping[str, DataFrame] | None = None) -> Snapshot:
+        """The next version: ``base`` with these tables in place of its own, and the rows of ``appends`` added to its tables.
 
-        Fails if another writer has published since ``base``; its tables are
-        then left unreferenced and nothing of them is seen.
+        Appended rows take the columns and types of their table; columns they
+        lack are null, and nothing is written where there are no rows. Fails if
+        another writer has published since ``base``; its tables are then left
+        unreferenced and nothing of them is seen.
         """
         version = base.version + 1
         if self.latest() >= version:
             raise errors.ManifestConflictError(f"version {version} is published already")
         folders = dict(base.folders)
         for name, df in tables.items():
-            folder = f"{self.root}/tables/{name}/{version:012d}-{uuid.uuid4().hex}"
-            df.write.parquet(folder)
-            folders[name] = folder
+            folders[name] = [self._write(name, version, df)]
+        for name, df in (appends or {}).items():
+            if df.isEmpty():
+                continue
+            table = base[name]
+            rows = df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
+            if len(folders[name]) < MOST_FOLDERS:
+                folders[name] = [*folders[name], self._write(name, version, rows)]
+            else:
+                folders[name] = [self._write(name, version, table.unionByName(rows))]
         body = json.dumps({"version": version, "tables": folders, "control": dict(control if control is not None else base.control)})
         aside = f"{self.root}/manifests/{uuid.uuid4().hex}.aside"
         out = self._fs.create(self._path(aside), False)
@@ -93,6 +111,10 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
         context.rename(self._path(aside), self._path(name), options)
 
+    def discard(self, folder: str) -> None:
+        """Deletes a folder that no manifest names."""
+        self._fs.delete(self._path(folder), True)
+
     # --- backup and checks -----------------------------------------------------------
 
     def backup(self, to: str, blobs: DataFrame | None = None) -> None:
@@ -111,10 +133,12 @@ class Snapshot(Mapping):
     """The tables of one version by name."""
 
     def __init__(self, store: Store, manifest: dict):
-        self.store, self.version, self.folders, self.control = store, manifest["version"], manifest["tables"], manifest["control"]
+        self.store, self.version, self.control = store, manifest["version"], manifest["control"]
+        # a name alone is a table of one folder
+        self.folders = {n: [f] if isinstance(f, str) else f for n, f in manifest["tables"].items()}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.store.spark.read.parquet(self.folders[name])
+        return self.store.spark.read.parquet(*self.folders[name])
 
     def __iter__(self):
         return iter(self.folders)

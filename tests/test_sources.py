@@ -254,6 +254,19 @@ def test_half_written_manifests_are_not_seen(spark, tmp_path):
     assert not [p for p in os.listdir(tmp_path / "store" / "manifests") if p.endswith(".aside") and p != "0.aside"]
 
 
+def test_appends_write_only_what_they_add(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    one = store.publish(store.pin(), {"t": spark.range(3).selectExpr("id AS a", "'x' AS b")})
+    two = store.publish(one, {}, appends={"t": spark.range(2).selectExpr("cast(id AS int) AS a")})
+    assert two.folders["t"][0] == one.folders["t"][0] and len(two.folders["t"]) == 2
+    assert (two["t"].schema, one["t"].count(), two["t"].count(), two["t"].where("b IS NULL").count()) == (one["t"].schema, 3, 5, 2)
+    three = store.publish(two, {}, appends={"t": two["t"].limit(0)})
+    assert three.folders == two.folders
+    monkeypatch.setattr("tessera.plans.manifest.MOST_FOLDERS", 2)
+    four = store.publish(three, {}, appends={"t": spark.range(1).selectExpr("id AS a")})
+    assert len(four.folders["t"]) == 1 and four["t"].count() == 6 and two["t"].count() == 5
+
+
 def test_digests_and_upgrade(spark, tmp_path):
     a = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
     assert table_digest(a) == table_digest(a.orderBy(a.a.desc()).select("b", "a")) != table_digest(a.limit(1))
@@ -280,8 +293,11 @@ def test_engine(spark, tree, tmp_path):
     report = e.scan(source)
     assert report.scan.status == "completed" and report.counts["versions_created"] == 25
     assert e.parse() == {"claimed": 3, "succeeded": 2} and e.normalize() == {"claimed": 2, "succeeded": 2}
-    before = e.tables()
+    before, files = e.tables(), e.snapshot().folders
     assert e.scan(source).counts["versions_created"] == 0 and e.normalize()["claimed"] == 0
+    # an unchanged scan adds no file to the tables that only grow, and leaves nothing of its work
+    assert all(e.snapshot().folders[t] == files[t] for t in ("document_version", "derivation", "artifact", "processing_run", "source"))
+    assert not os.listdir(tmp_path / "data" / "work")
     results = e.audit(replay=(before, e.tables()), vectors=[("a", "b", "b")], known_sources=[source])
     audit.assert_invariants(results, [r for r in audit.INVARIANTS if r not in ("HASH_MATCHES_BLOB", "IDEMPOTENT_REPLAY")])
     os.unlink(tree / "f0.txt")
