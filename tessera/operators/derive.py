@@ -88,8 +88,8 @@ def complete(runs: DataFrame, run_id: str, worker_id: str, status: str, now_ms:
     if status not in ("succeeded", "failed"):
         raise ValueError("a run succeeds or fails")
     mine = (F.col("run_id") == run_id) & (F.col("worker_id") == worker_id) & live(now_ms)
-    out = runs.withColumn("status", F.when(mine, status).otherwise(F.col("status")))
-    return out.withColumn("permanent", F.when(mine, F.lit(permanent and status == "failed")).otherwise(F.col("permanent")))
+    # at once: what is ended is a live lease no more
+    return runs.withColumns({"status": F.when(mine, status).otherwise(F.col("status")), "permanent": F.when(mine, F.lit(permanent and status == "failed")).otherwise(F.col("permanent"))})
 
 
 def stale_worker_observations(claims: DataFrame, operation: str) -> DataFrame:

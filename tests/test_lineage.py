@@ -38,6 +38,7 @@ def test_leases(spark):
     assert derive.stale_worker_observations(derive.check_leases(claims, known, 1000), "heartbeat").count() == 5
     assert [r.lease_expires_at for r in derive.heartbeat(known, "a", "w", 4000).orderBy("run_id").collect()] == [64_000, 1000, 9000]
     assert [r.status for r in derive.complete(known, "a", "w", "failed", 2000, permanent=True).orderBy("run_id").collect()] == ["failed", "leased", "succeeded"]
+    assert [r.permanent for r in derive.complete(known, "a", "w", "failed", 2000, permanent=True).orderBy("run_id").collect()][0] is True
     assert [r.status for r in derive.complete(known, "b", "w", "succeeded", 2000).orderBy("run_id").collect()] == ["leased", "leased", "succeeded"]
     assert [r.status for r in derive.reap(known, 1000).orderBy("run_id").collect()] == ["leased", "abandoned", "succeeded"]
 
