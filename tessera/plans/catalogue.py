@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, lineage, packages
+from . import audits, lifecycle, lineage, packages
 
-QUERIES = {**lineage.QUERIES, **packages.QUERIES, **audits.QUERIES}
-ORACLES = {**lineage.ORACLES, **packages.ORACLES, **audits.ORACLES}
+QUERIES = {**lineage.QUERIES, **packages.QUERIES, **lifecycle.QUERIES, **audits.QUERIES}
+ORACLES = {**lineage.ORACLES, **packages.ORACLES, **lifecycle.ORACLES, **audits.ORACLES}

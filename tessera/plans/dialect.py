@@ -36,7 +36,7 @@ class Duck:
         return f"cast(strlen({x}) AS bigint)"
 
     def ms(self, ts: str) -> str:
-        return f"epoch_ms(cast({ts} AS timestamp))"
+        return f"(epoch_us(cast({ts} AS timestamp)) // 1000)"
 
     def day(self, ts: str) -> str:
         return f"cast(dayofmonth({ts}) AS bigint)"
