@@ -7,7 +7,7 @@ next attempt is one more than the largest so far.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -258,5 +258,49 @@ def rename_candidates(disappeared: DataFrame, appeared: DataFrame) -> DataFrame:
     return a.join(b, "content_hash").where("disappeared_document_id <> appeared_document_id").withColumn("resolution", F.lit("unresolved"))
 
 
+def artifact_evidence(t: Mapping[str, DataFrame], kind: str, most_bytes: int) -> DataFrame:
+    """Every artifact of a kind of one input and one output, with ``problem``: the first thing that doesn't add up; null if all does.
+
+    Its key and id are derived again from the stored materials, and its
+    content, counts, root, outputs and a run that succeeded must agree with them.
+    """
+    a = t["artifact"].where(F.col("type") == kind).withColumn("actual", identity.content_hash("inline_content"))
+    d = t["derivation"].select(
+        "derivation_key", "processor_name", "processor_version", "config_hash", F.from_json("input_ids", "array<string>").alias("inputs"), F.col("root_version_id").alias("d_root"), F.col("document_id").alias("d_document"),
+        "artifact_count", "outputs_hash", F.lit(True).alias("derived"),
+    )
+    stored = t["artifact"].join(a.select("derivation_key").distinct(), "derivation_key", "left_semi").groupBy("derivation_key").agg(F.count(F.lit(1)).alias("stored"))
+    roots = t["document_version"].select(F.col("version_id").alias("d_root"), F.col("document_id").alias("owner"))
+    won = t["processing_run"].where("status = 'succeeded'").select("derivation_key", F.col("root_version_id").alias("d_root"), F.col("document_id").alias("d_document"), F.lit(True).alias("won")).distinct()
+    j = a.join(d, "derivation_key", "left").join(stored, "derivation_key").join(roots, "d_root", "left").join(won, ["derivation_key", "d_root", "d_document"], "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    only = F.size("inputs") == 1
+    key = identity.derivation_key("processor_name", "processor_version", "config_hash", F.slice("inputs", 1, 1))
+    ident = identity.artifact_id("derivation_key", F.lit(0))
+    problem = (
+        F.when(F.col("inline_content").isNull() | F.col("blob_key").isNotNull(), "form").when(F.octet_length("inline_content") > most_bytes, "limit").when(F.col("derived").isNull(), "derivation")
+        .when(no(only & F.col("inputs")[0].isNotNull()), "input").when(no(key == F.col("derivation_key")), "key").when(no((ident == F.col("artifact_id")) & (F.col("ordinal") == 0)), "id")
+        .when(no((F.col("artifact_count") == 1) & (F.col("stored") == 1)), "count")
+        .when(no((F.col("owner") == F.col("d_document")) & (F.col("root_version_id") == F.col("d_root")) & (F.col("document_id") == F.col("d_document"))), "root")
+        .when(no((F.col("content_hash") == F.col("actual")) & (F.col("size_bytes") == F.octet_length("inline_content"))), "content").when(F.col("won").isNull(), "run")
+        .when(no(F.col("outputs_hash") == identity.sha256(F.concat(F.lit("out:"), "artifact_id", F.lit(":"), "actual"))), "outputs")
+    )
+    return j.select("artifact_id", "derivation_key", "root_version_id", "document_id", "created_at", "inline_content", F.col("inputs")[0].alias("input_id"), problem.alias("problem"))
+
+
+def derivation_status(rows: DataFrame, derivations: DataFrame, runs: DataFrame) -> DataFrame:
+    """``rows`` with ``status`` of their derivation_key: unsupported (it is null), ready, waiting for a lease, failed, or not_parsed.
+
+    ``broken``: a run says it succeeded, and there is no result.
+    """
+    have = derivations.select("derivation_key", F.lit(True).alias("derived"))
+    tried = runs.groupBy("derivation_key").agg(F.max(F.struct("attempt", "run_id", "status"))["status"].alias("latest"), F.max((F.col("status") == "succeeded").cast("int")).alias("won"))
+    status = (
+        F.when(F.col("derivation_key").isNull(), "unsupported").when(F.col("derived"), "ready").when(F.col("won") == 1, "broken").when(F.col("latest") == "leased", "waiting")
+        .when(F.col("latest").isNotNull(), "failed").otherwise("not_parsed")
+    )
+    return rows.join(have, "derivation_key", "left").join(tried, "derivation_key", "left").select(*rows.columns, status.alias("status"))
+
+
 def known_processors(derivations: DataFrame) -> Iterable:
     return derivations.groupBy("processor_name", "processor_version", "config_hash").agg(F.count(F.lit(1)).alias("derivations"), F.sum("artifact_count").alias("artifacts"))

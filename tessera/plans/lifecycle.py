@@ -261,6 +261,47 @@ def stale_workers(t: Tables) -> DataFrame:
     return derive.stale_worker_observations(derive.check_leases(claims, runs, lineage._LEASE_NOW), "commit").select("run_id", "detail")
 
 
+@query("""WITH k AS (SELECT 'key-' || (c_custkey % 700)::VARCHAR AS derivation_key, c_custkey FROM customer), r AS (
+  SELECT derivation_key, bool_or(status = 'succeeded') AS won, arg_max(status, (attempt, run_id)) AS latest FROM processing_run GROUP BY derivation_key)
+SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'unsupported' WHEN c_custkey % 700 % 4 = 0 THEN 'ready' WHEN won THEN 'broken' WHEN latest = 'leased' THEN 'waiting' WHEN latest IS NOT NULL THEN 'failed' ELSE 'not_parsed' END AS status
+FROM k LEFT JOIN r USING (derivation_key)""", "processing_run")
+def derivation_statuses(t: Tables) -> DataFrame:
+    """How the results of all kinds of keys stand."""
+    number = F.col("c_custkey") % 700
+    key = F.concat(F.lit("key-"), number.cast("string"))
+    c = t.raw("customer")
+    done = c.where(number % 4 == 0).select(key.alias("derivation_key")).distinct()
+    return derive.derivation_status(c.select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, key).alias("derivation_key")), done, t["processing_run"]).select("c_custkey", "status")
+
+
+@query("""WITH m AS (SELECT *, sha256('ver:' || doc_id::VARCHAR) AS root, sha256(text) AS h FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+SELECT doc_id, CASE doc_id % 13 WHEN 1 THEN 'form' WHEN 2 THEN 'derivation' WHEN 3 THEN 'input' WHEN 4 THEN 'key' WHEN 5 THEN 'id' WHEN 6 THEN 'count' WHEN 7 THEN 'root' WHEN 8 THEN 'root' WHEN 9 THEN 'content' WHEN 10 THEN 'content'
+  WHEN 11 THEN 'run' WHEN 12 THEN 'outputs' END AS problem FROM m""")
+def artifact_evidence(t: Tables) -> DataFrame:
+    """Documents as derived artifacts, with a defect of every kind."""
+    c = F.col
+    m = c("doc_id") % 13
+    number = c("doc_id").cast("string")
+    rows = t.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("root", identity.sha256(F.concat(F.lit("ver:"), number)))
+    rows = rows.withColumn("derivation_key", F.when(m == 4, F.concat(F.lit("k"), number)).otherwise(identity.derivation_key(F.lit("p"), F.lit("1"), F.lit("{}"), F.array("root"))))
+    rows = rows.withColumns({"artifact_id": F.when(m == 5, F.concat(F.lit("a"), number)).otherwise(identity.artifact_id("derivation_key", F.lit(0))), "hash": identity.content_hash("text")})
+    at, one = F.lit(NOW).cast("bigint").alias("created_at"), F.lit(1).cast("bigint")
+    artifacts = rows.select(
+        "artifact_id", "derivation_key", F.lit(0).cast("bigint").alias("ordinal"), number.alias("document_id"), F.when(m == 7, "other").otherwise(c("root")).alias("root_version_id"), F.lit("text").alias("type"), c("text").alias("inline_content"),
+        F.when(m == 1, "b").alias("blob_key"), F.when(m == 9, "h").otherwise(c("hash")).alias("content_hash"), (F.octet_length("text") + F.when(m == 10, 1).otherwise(0)).cast("bigint").alias("size_bytes"), at,
+    )
+    outputs = identity.sha256(F.concat(F.lit("out:"), "artifact_id", F.lit(":"), F.when(m == 12, "h").otherwise(c("hash"))))
+    inputs = F.when(m == 3, F.to_json(F.array("root", "root"))).otherwise(F.to_json(F.array("root")))
+    heads = rows.where(m != 2).select(
+        "derivation_key", F.lit("p").alias("processor_name"), F.lit("1").alias("processor_version"), F.lit("{}").alias("config_hash"), inputs.alias("input_ids"), c("root").alias("root_version_id"), number.alias("document_id"),
+        F.when(m == 6, 2).otherwise(one).cast("bigint").alias("artifact_count"), outputs.alias("outputs_hash"),
+    )
+    versions = rows.select(c("root").alias("version_id"), F.when(m == 8, "other").otherwise(number).alias("document_id"))
+    runs = rows.select("derivation_key", c("root").alias("root_version_id"), number.alias("document_id"), F.when(m == 11, "failed").otherwise("succeeded").alias("status"))
+    out = derive.artifact_evidence({"artifact": artifacts, "derivation": heads, "document_version": versions, "processing_run": runs}, "text", 1 << 30)
+    return out.join(rows.select("artifact_id", "doc_id"), "artifact_id").select("doc_id", "problem")
+
+
 @query("""WITH k AS (SELECT item_id, item_id % 6 AS m FROM benchmark)
 SELECT 'n' || item_id::VARCHAR AS subject, CASE m WHEN 1 THEN 'shape' WHEN 2 THEN 'parent' WHEN 3 THEN 'parent' WHEN 4 THEN 'correspondence' ELSE 'parent' END AS detail FROM k WHERE m <> 0""")
 def normalized_findings(t: Tables) -> DataFrame:
