@@ -1,8 +1,9 @@
-"""``python -m tessera --data-dir DIR (register FOLDER | scan SOURCE | parse | normalize | audit | search TEXT | state | backup TO)``"""
+"""``python -m tessera --data-dir DIR (register FOLDER | scan SOURCE | parse | normalize | audit | search TEXT | state | status | export | backup TO)``"""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
@@ -13,7 +14,7 @@ from .operators.audit import format_report
 def main() -> None:
     p = argparse.ArgumentParser(prog="tessera", description=__doc__)
     p.add_argument("--data-dir", required=True)
-    p.add_argument("command", choices=["register", "scan", "parse", "normalize", "audit", "search", "state", "backup"])
+    p.add_argument("command", choices=["register", "scan", "parse", "normalize", "audit", "search", "state", "status", "export", "backup"])
     p.add_argument("argument", nargs="?")
     a = p.parse_args()
     engine = Engine(SparkSession.builder.appName("tessera").getOrCreate(), a.data_dir)
@@ -27,6 +28,10 @@ def main() -> None:
         print(format_report(engine.audit()))
     elif a.command == "search":
         engine.search(a.argument or "").show(50, False)
+    elif a.command == "status":
+        engine.parse_status().groupBy("form", "status").count().orderBy("form", "status").show(50, False)
+    elif a.command == "export":
+        print(json.dumps(engine.diagnostics(), ensure_ascii=False, default=str))
     elif a.command == "backup":
         engine.backup(a.argument)
     else:

@@ -96,14 +96,14 @@ class Engine:
             self.store.publish(s, {"source": sources}, {**s.control, "roots": {**s.control["roots"], source_id: os.path.realpath(root)}})
         return source_id
 
-    def scan(self, source_id: str, *, items: DataFrame | None = None, review=None, interrupted: str | None = None, **thresholds) -> scan.Report:
-        """Scans a source: its folder, or ``items`` that are given with outcomes."""
+    def scan(self, source_id: str, *, items: DataFrame | None = None, review=None, interrupted: str | None = None, repair: bool = False, **thresholds) -> scan.Report:
+        """Scans a source: its folder, or ``items`` that are given with outcomes. ``repair`` puts torn blobs right, which else stop the scan."""
         s = self.snapshot()
         root = s.control["roots"].get(source_id)
         if items is None:
             if root is None:
                 raise errors.NotFoundError(f"no folder of source {source_id}")
-            items = folder.with_outcomes(folder.enumerate_folder(self.spark, root, source_id), root, self.blob_root)
+            items = folder.with_outcomes(folder.enumerate_folder(self.spark, root, source_id), root, self.blob_root, repair=repair)
         for column, kind in (("mime_type", "string"),):
             if column not in items.columns:
                 items = items.withColumn(column, F.lit(None).cast(kind))
@@ -192,16 +192,30 @@ class Engine:
         n = done.agg(F.count(F.lit(1))).first()[0]
         return {"claimed": n, "succeeded": ended.where("fine").count()}, divergent
 
-    def parse(self, *, isolated: bool = False) -> dict[str, int]:
-        """Parses every active Word and Excel version that isn't parsed yet. Failures can be tried again."""
-        t = self.snapshot()
-        form = extension("stable_key")
-        active = t["document"].where("state = 'active' AND active_version_id IS NOT NULL").select("document_id", F.col("active_version_id").alias("root_version_id"), form.alias("form"))
+    def _parsing(self, t: Snapshot, versions: DataFrame) -> DataFrame:
+        """``versions`` (document_id, root_version_id, stable_key) with their parse's form and key; both are null if no parser takes them."""
+        rows = versions.withColumn("form", extension("stable_key"))
+        rows = rows.withColumn("form", F.when(F.col("form").isin("docx", "xlsx"), F.col("form"))).drop("stable_key")
         config = F.when(F.col("form") == "docx", office.parser_config_hash("docx")).otherwise(office.parser_config_hash("xlsx"))
-        rows = active.where(F.col("form").isin("docx", "xlsx")).withColumns({
+        rows = rows.withColumns({
             "processor_name": F.lit(office.PARSER_NAME), "processor_version": F.lit(office.PARSER_VERSION), "config_hash": config, "input_ids": F.to_json(F.array("root_version_id")),
         })
-        rows = rows.withColumn("derivation_key", identity.derivation_key("processor_name", "processor_version", "config_hash", F.array("root_version_id")))
+        key = identity.derivation_key("processor_name", "processor_version", "config_hash", F.array("root_version_id"))
+        return rows.withColumn("derivation_key", F.when(F.col("form").isNotNull(), key))
+
+    def _active(self, t: Snapshot) -> DataFrame:
+        return t["document"].where("state = 'active' AND active_version_id IS NOT NULL").select("document_id", F.col("active_version_id").alias("root_version_id"), "stable_key")
+
+    def parse_status(self) -> DataFrame:
+        """(document_id, version_id, form, status) of every active version: ready, waiting, failed, not_parsed, or unsupported."""
+        t = self.snapshot()
+        rows = self._parsing(t, self._active(t)).select("document_id", F.col("root_version_id").alias("version_id"), "form", "derivation_key")
+        return derive.derivation_status(rows, t["derivation"], t["processing_run"]).drop("derivation_key")
+
+    def parse(self, *, isolated: bool = False) -> dict[str, int]:
+        """Parses every active Word and Excel version that isn't parsed yet. Failures can be tried again."""
+        t = self.snapshot()
+        rows = self._parsing(t, self._active(t)).where("form IS NOT NULL")
 
         def compute(new: DataFrame) -> DataFrame:
             hashes = t["document_version"].select(F.col("version_id").alias("root_version_id"), "blob_key", "content_hash")
@@ -236,12 +250,37 @@ class Engine:
 
     # --- views -------------------------------------------------------------------------
 
-    def content(self, version_id: str, kind: str = "parsed_document") -> list[str]:
-        """The stored results of a version, refused if their evidence doesn't add up."""
-        a = self.snapshot()["artifact"].where((F.col("root_version_id") == version_id) & (F.col("type") == kind))
-        fine = F.sha2(F.col("inline_content").cast("binary"), 256) == F.col("content_hash")
-        checked = F.when(fine, F.col("inline_content")).otherwise(F.raise_error(F.lit("stored content doesn't match its hash")))
-        return [r[0] for r in a.orderBy(F.desc("created_at"), "artifact_id").limit(views.CANDIDATES).select(checked).collect()]
+    def content(self, version_id: str, kind: str = "parsed_document", artifact_id: str | None = None) -> list[str]:
+        """The stored results of a version, the latest first, or the one that is named; refused if their evidence doesn't add up."""
+        s = self.snapshot()
+        mine = (F.col("root_version_id") == version_id) & (F.col("type") == kind)
+        mine = mine if artifact_id is None else mine & (F.col("artifact_id") == artifact_id)
+        keys = s["artifact"].where(mine).select("derivation_key").distinct()
+        near = {n: s[n].join(keys, "derivation_key", "left_semi") for n in ("artifact", "derivation", "processing_run")}
+        near["document_version"] = s["document_version"].where(F.col("version_id") == version_id)
+        most = office.LIMITS["outputBytes"] if kind == "parsed_document" else normalize.MOST_BYTES
+        found = derive.artifact_evidence(near, kind, most)
+        checked = F.when(F.col("problem").isNull(), F.col("inline_content")).otherwise(F.raise_error(F.concat(F.lit("the stored result's evidence doesn't add up: "), "problem")))
+        return [r[0] for r in found.orderBy(F.desc("created_at"), "artifact_id").limit(views.CANDIDATES).select(checked).collect()]
+
+    def original(self, version_id: str) -> tuple[bytes, str]:
+        """(bytes, file name) of a version as it was read, checked against its hash and size."""
+        s = self.snapshot()
+        v = s["document_version"].where(F.col("version_id") == version_id).join(s["document"].select("document_id", "stable_key"), "document_id").first()
+        if v is None:
+            raise errors.NotFoundError(f"no version {version_id}")
+        if v["size_bytes"] > office.LIMITS["inputBytes"]:
+            raise ValueError("the file is beyond the limit of what is shown")
+        data = blob_files.BlobStore(self.blob_root).get(v["blob_key"], v["content_hash"])
+        if len(data) != v["size_bytes"]:
+            raise errors.SizeMismatchError(declared=v["size_bytes"], actual=len(data))
+        return data, v["stable_key"].split("/")[-1]
+
+    def diagnostics(self) -> dict:
+        """The state as one small object: counts, sources, recent scans and what needs attention."""
+        t = self.tables()
+        rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+        return {"version": self.store.latest(), "counts": rows(views.state_counts(t))[0], "attention": rows(views.attention_count(t))[0], "sources": rows(views.source_overview(t)), "scans": rows(views.recent_scans(t))}
 
     def search(self, query: str, **page) -> DataFrame:
         return views.search_documents(self.snapshot(), query, **page)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import errors
 from ..functions.identity import canonical_config_hash
 
 ITEM_SCHEMA = (
@@ -189,29 +190,50 @@ OUTCOME = "struct<kind:string,content_hash:string,size_bytes:bigint,error_kind:s
 _OUTCOME_TYPE = pa.struct([("kind", pa.string()), ("content_hash", pa.string()), ("size_bytes", pa.int64()), ("error_kind", pa.string()), ("declared_size_bytes", pa.int64()), ("actual_size_bytes", pa.int64())])
 
 
-def read_outcome(root: str, key: str, declared: int | None, put=None) -> dict:
-    """Reads a file and says what came of it. ``put`` stores the bytes and returns their hash."""
+def read_outcome(root: str, key: str, declared: int | None, put=None, restore=None) -> dict:
+    """Reads a file and says what came of it. ``put`` stores the bytes and returns their hash.
+
+    Other bytes under their address stop the scan: the entry would pass for
+    read. With ``restore`` (key, bytes, size) the file is read once more instead
+    and takes that place, if it still is what the address says.
+    """
     none = dict.fromkeys(("kind", "content_hash", "size_bytes", "error_kind", "declared_size_bytes", "actual_size_bytes"))
     try:
-        with open(safe_path(root, key), "rb") as f:
-            data = f.read()
+        data = _bytes(root, key)
         if declared is not None and len(data) != declared:
             return none | {"kind": "size_mismatch", "declared_size_bytes": declared, "actual_size_bytes": len(data)}
-        digest = put(data) if put else hashlib.sha256(data).hexdigest()
+        try:
+            digest = put(data) if put else hashlib.sha256(data).hexdigest()
+        except errors.BlobDivergenceError as error:
+            address = error.facts.get("key")
+            if restore is None or address is None:
+                raise
+            data = _bytes(root, key)
+            digest = restore(address, data, len(data) if declared is None else declared)
         return none | {"kind": "content", "content_hash": digest, "size_bytes": len(data)}
+    except errors.BlobDivergenceError:
+        raise
     except ContainmentError as error:
         return none | {"kind": "unreadable", "error_kind": f"containment:{error}"}
     except OSError as error:
         return none | {"kind": "unreadable", "error_kind": error_name(error)}
+    except Exception as error:  # noqa: BLE001  whatever else keeps an entry from being read is its outcome
+        return none | {"kind": "unreadable", "error_kind": str(errors.kind_of(error))}
+
+
+def _bytes(root: str, key: str) -> bytes:
+    with open(safe_path(root, key), "rb") as f:
+        return f.read()
 
 
-def with_outcomes(items: DataFrame, root: str, blob_root: str | None = None) -> DataFrame:
-    """``items`` with ``outcome`` for its entries; contents go to the blob folder, if one is named."""
+def with_outcomes(items: DataFrame, root: str, blob_root: str | None = None, *, repair: bool = False) -> DataFrame:
+    """``items`` with ``outcome`` for its entries; contents go to the blob folder, if one is named, where ``repair`` puts torn blobs right."""
     from .blobs import BlobStore
 
     def run(kinds: pa.Array, keys: pa.Array, sizes: pa.Array) -> pa.Array:
-        put = BlobStore(blob_root).put_bytes if blob_root else None
-        rows = [read_outcome(root, k, s, put) if kind == "entry" else None for kind, k, s in zip(kinds.to_pylist(), keys.to_pylist(), sizes.to_pylist())]
+        store = BlobStore(blob_root) if blob_root else None
+        put, restore = (store.put_bytes, store.restore if repair else None) if store else (None, None)
+        rows = [read_outcome(root, k, s, put, restore) if kind == "entry" else None for kind, k, s in zip(kinds.to_pylist(), keys.to_pylist(), sizes.to_pylist())]
         return pa.array(rows, _OUTCOME_TYPE)
 
     run.__annotations__ = {"kinds": pa.Array, "keys": pa.Array, "sizes": pa.Array, "return": pa.Array}

@@ -229,6 +229,22 @@ def test_blobs(spark, tmp_path):
     assert not os.listdir(os.path.join(store.root, "tmp"))
 
 
+def test_torn_blobs_stop_or_are_repaired(tmp_path):
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root" / "a.txt").write_bytes(b"one")
+    store = blobs.BlobStore(str(tmp_path / "blobs"))
+    key = store.put_bytes(b"one")
+    with open(blobs.blob_path(store.root, key), "wb") as f:
+        f.write(b"torn")
+    read = lambda **k: folder.read_outcome(str(tmp_path / "root"), "a.txt", 3, store.put_bytes, **k)
+    with pytest.raises(errors.BlobDivergenceError):
+        read()
+    assert read(restore=store.restore)["content_hash"] == key and store.verify(key, key)
+    def odd(data):
+        raise RuntimeError("odd")
+    assert folder.read_outcome(str(tmp_path / "root"), "a.txt", 3, odd)["error_kind"] == "RuntimeError"
+
+
 # --- manifests ---------------------------------------------------------------------------
 
 
@@ -304,6 +320,10 @@ def test_engine(spark, tree, tmp_path):
     assert e.scan(source).deleted == 1 and e.search("F1").count() == 11
     version = e.snapshot()["document"].where("stable_key = 'b.xlsx'").first()["active_version_id"]
     assert json.loads(e.content(version)[0])["sheets"][0]["cells"][0]["value"] == "5" and len(e.content(version, "normalized_document")) == 1
+    assert len(e.content(version, artifact_id="none")) == 0 and e.original(version)[1] == "b.xlsx"
+    assert {(r.form, r.status) for r in e.parse_status().where("form IS NOT NULL").collect()} == {("docx", "ready"), ("docx", "failed"), ("xlsx", "ready")} and e.parse_status().where("status = 'unsupported'").count() > 0
+    told = e.diagnostics()
+    assert [x["status"] for x in told["scans"]] == ["completed"] * 3 and told["sources"][0]["source_id"] == source and json.dumps(told, default=str)
     t = e.tables()
     assert normalize.normalization_findings(t).count() == 0
     members = normalize.members_of(t["artifact"].where("type = 'normalized_document'").withColumnRenamed("inline_content", "content"), "artifact_id")
