@@ -49,7 +49,7 @@ class Engine:
         self.new_id = new_id or (lambda: str(uuid.uuid4()))
         self.work = f"{root}/work"
         self.worker = f"{WORKER}:{uuid.uuid4().hex}"
-        self.blob_root = os.path.join(root, "blobs")
+        self.blob_root = self.store.address("blobs")
         if self.store.latest() == 0:
             self.store.publish(self.store.pin(), {n: spark.createDataFrame([], ddl) for n, ddl in TABLES.items()}, {"scans": [], "roots": {}})
 
@@ -245,7 +245,7 @@ class Engine:
         return audit.check_invariants(self.tables(), **context)
 
     def backup(self, to: str) -> None:
-        files = blob_files.stored_blobs(self.spark, self.blob_root) if os.path.isdir(self.blob_root) else None
+        files = blob_files.stored_blobs(self.spark, self.blob_root) if self.store.has(self.blob_root) else None
         self.store.backup(to, files)
 
     # --- views -------------------------------------------------------------------------

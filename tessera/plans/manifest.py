@@ -111,6 +111,14 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
         context.rename(self._path(aside), self._path(name), options)
 
+    def address(self, name: str) -> str:
+        """A folder of the store for readers outside Hadoop: a path if the store is mounted, else with its scheme."""
+        uri = self._fs.makeQualified(self._path(f"{self.root}/{name}")).toUri()
+        return uri.getPath() if uri.getScheme() == "file" else uri.toString()
+
+    def has(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
     def discard(self, folder: str) -> None:
         """Deletes a folder that no manifest names."""
         self._fs.delete(self._path(folder), True)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ def blob_path(root: str, key: str) -> str:
     return os.path.join(root, key[:2], key[2:])
 
 
-def _digest_of(path: str) -> str:
+def _digest_of(file: BinaryIO) -> str:
     h = hashlib.sha256()
-    with open(path, "rb") as f:
+    with file as f:
         while piece := f.read(1 << 20):
             h.update(piece)
     return h.hexdigest()
@@ -36,11 +38,67 @@ def _sync(path: str) -> None:
         os.close(fd)
 
 
+class _Mounted:
+    """Files below a path that executors mount."""
+
+    def exists(self, path: str) -> bool:
+        return os.path.exists(path)
+
+    def read(self, path: str) -> BinaryIO:
+        return open(path, "rb")
+
+    def write(self, path: str, data: bytes) -> None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "xb") as f:
+            f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+
+    def move(self, old: str, new: str) -> None:
+        os.makedirs(os.path.dirname(new), exist_ok=True)
+        os.replace(old, new)
+        _sync(os.path.dirname(new))
+
+    def delete(self, path: str) -> None:
+        os.unlink(path)
+
+
+class _Remote:
+    """Files of a store with a scheme (``hdfs://``, ``s3://`` ...), as Arrow reaches it from a task."""
+
+    def __init__(self, root: str):
+        self.fs, inner = fs.FileSystem.from_uri(root)
+        self.inner = lambda path: inner.rstrip("/") + path[len(root) :]
+
+    def exists(self, path: str) -> bool:
+        return self.fs.get_file_info(self.inner(path)).type == fs.FileType.File
+
+    def read(self, path: str) -> BinaryIO:
+        if not self.exists(path):
+            raise FileNotFoundError(path)
+        return self.fs.open_input_stream(self.inner(path))
+
+    def write(self, path: str, data: bytes) -> None:
+        self.fs.create_dir(os.path.dirname(self.inner(path)), recursive=True)
+        with self.fs.open_output_stream(self.inner(path)) as f:
+            f.write(data)
+
+    def move(self, old: str, new: str) -> None:
+        self.fs.create_dir(os.path.dirname(self.inner(new)), recursive=True)
+        if self.exists(new):  # some stores don't move over a file
+            self.fs.delete_file(self.inner(new))
+        self.fs.move(self.inner(old), self.inner(new))
+
+    def delete(self, path: str) -> None:
+        self.fs.delete_file(self.inner(path))
+
+
 class BlobStore:
-    """Writes are idempotent, so a task that runs again does no harm."""
+    """Writes are idempotent, so a task that runs again does no harm. The root is a path or has a scheme."""
 
     def __init__(self, root: str):
-        self.root = root
+        self.root = root.rstrip("/") or root
+        self.files = _Remote(self.root) if "://" in root else _Mounted()
 
     def put(self, data: bytes, expected_size: int | None = None, key: str | None = None, *, restore: bool = False) -> tuple[str, bool]:
         """(key, created). Bytes are written aside, read back and hashed, and only then take their name.
@@ -49,28 +107,22 @@ class BlobStore:
         """
         if expected_size is not None and len(data) != expected_size:
             raise errors.SizeMismatchError(declared=expected_size, actual=len(data))
-        os.makedirs(os.path.join(self.root, "tmp"), exist_ok=True)
         aside = os.path.join(self.root, "tmp", uuid.uuid4().hex)
         try:
-            with open(aside, "xb") as f:
-                f.write(data)
-                f.flush()
-                os.fsync(f.fileno())
-            digest = _digest_of(aside)
+            self.files.write(aside, data)
+            digest = _digest_of(self.files.read(aside))
             if key is not None and key != digest:
                 raise errors.BlobDivergenceError(key=key, actual=digest)
             path = blob_path(self.root, digest)
-            if os.path.exists(path) and not restore:
-                if _digest_of(path) != digest:
+            if self.files.exists(path) and not restore:
+                if _digest_of(self.files.read(path)) != digest:
                     raise errors.BlobDivergenceError(key=digest)
                 return digest, False
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            os.replace(aside, path)
-            _sync(os.path.dirname(path))
+            self.files.move(aside, path)
             return digest, True
         finally:
-            if os.path.exists(aside):
-                os.unlink(aside)
+            if self.files.exists(aside):
+                self.files.delete(aside)
 
     def put_bytes(self, data: bytes) -> str:
         return self.put(data)[0]
@@ -81,7 +133,7 @@ class BlobStore:
     def verify(self, key: str, content_hash: str) -> bool:
         """Whether the bytes are there and hash to this; a missing blob is no error."""
         path = blob_path(self.root, key)
-        return os.path.exists(path) and _digest_of(path) == content_hash
+        return self.files.exists(path) and _digest_of(self.files.read(path)) == content_hash
 
     def get(self, key: str, content_hash: str) -> bytes:
         data = self.get_unverified(key)
@@ -91,7 +143,7 @@ class BlobStore:
 
     def get_unverified(self, key: str) -> bytes:
         """For repair alone."""
-        with open(blob_path(self.root, key), "rb") as f:
+        with self.files.read(blob_path(self.root, key)) as f:
             return f.read()
 
     def delete(self, key: str) -> None:

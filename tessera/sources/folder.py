@@ -247,7 +247,7 @@ def register_source(sources: DataFrame, root: str, name: str | None = None, data
     real = os.path.realpath(root)
     if not os.path.isdir(real):
         raise ValueError("not a folder")
-    if data_dir is not None:
+    if data_dir is not None and "://" not in data_dir:
         data = os.path.realpath(data_dir)
         if os.path.commonpath([data, real]) in (data, real):
             raise ValueError("the folder and the store overlap")

@@ -204,14 +204,16 @@ def test_keys_stay_inside(tree):
     assert folder.read_outcome(str(tree), "b.xlsx", 3)["kind"] == "size_mismatch" and folder.read_outcome(str(tree), "none", 3)["error_kind"] == "ENOENT"
 
 
-def test_blobs(spark, tmp_path):
-    store = blobs.BlobStore(str(tmp_path / "blobs"))
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_blobs(spark, tmp_path, scheme):
+    local = str(tmp_path / "blobs")
+    store = blobs.BlobStore(scheme + local)
     key, created = store.put(b"x", 1)
     assert created and store.put(b"x") == (key, False) and store.verify(key, key) and store.get(key, key) == b"x"
     assert store.put(b"")[0].startswith("e3b0c442") and not store.verify("ab" * 32, key)
     with pytest.raises(errors.SizeMismatchError):
         store.put(b"x", 2)
-    with open(blobs.blob_path(store.root, key), "wb") as f:
+    with open(blobs.blob_path(local, key), "wb") as f:
         f.write(b"torn")
     with pytest.raises(errors.BlobDivergenceError):
         store.put(b"x")
@@ -221,12 +223,14 @@ def test_blobs(spark, tmp_path):
     assert [r.verified for r in blobs.verify_references(refs, blobs.stored_blobs(spark, store.root)).collect()] == [False, False]
     store.restore(key, b"x", 1)
     assert sorted(r.verified for r in blobs.verify_references(refs, blobs.stored_blobs(spark, store.root)).collect()) == [False, True]
+    with pytest.raises(FileNotFoundError):
+        store.get_unverified("ab" * 32)
     with pytest.raises(NotImplementedError):
         store.delete(key)
     for bad in ("ab", "AB12", "../x"):
         with pytest.raises(ValueError):
             blobs.blob_path("r", bad)
-    assert not os.listdir(os.path.join(store.root, "tmp"))
+    assert not os.listdir(os.path.join(local, "tmp"))
 
 
 def test_torn_blobs_stop_or_are_repaired(tmp_path):
