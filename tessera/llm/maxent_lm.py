@@ -235,9 +235,10 @@ def _descend(table: np.ndarray, power: np.ndarray, rows: np.ndarray, columns: np
     at = ranked[new]
     place = np.empty(len(rows), np.int64)
     place[order] = np.cumsum(new) - 1
-    step = np.empty((len(at), table.shape[1]), np.float32)
+    sums = np.empty((len(columns), len(at)))
     for c, column in enumerate(columns):
-        step[:, c] = np.bincount(place, column, len(at))
+        sums[c] = np.bincount(place, column, len(at))
+    step = sums.T.astype(np.float32, order="C")
     power[at] += np.einsum("ij,ij->i", step, step)
     table[at] -= RATE * step / np.sqrt(power[at] + 1e-6)[:, None]
 
@@ -269,9 +270,10 @@ def learn(model: Model, state: tuple[np.ndarray, np.ndarray, np.ndarray], ids: n
             np.clip(z, -20, 20, out=z)
             np.exp(np.negative(z, out=z), out=z)
             grad = (1 / (1 + z) - bit).ravel()
+            square = grad * grad
             for where in at:
                 where = where.ravel()
-                np.add.at(state[2], where, grad * grad)
+                np.add.at(state[2], where, square)
                 np.add.at(model.tail, where, np.float32(-RATE) * grad / np.sqrt(state[2].take(where) + np.float32(1e-6)))
 
 
