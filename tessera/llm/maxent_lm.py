@@ -138,9 +138,13 @@ class Model:
 def _slot(rows: int, salt: int, *ids: np.ndarray) -> np.ndarray:
     key = np.full(len(ids[0]), np.uint64(salt + 1))
     for k, x in enumerate(ids):
-        key = (key + x.astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD[k])
+        key += x.astype(np.uint64, copy=False)
+        key += np.uint64(1)
+        key *= np.uint64(_ODD[k])
         key ^= key >> np.uint64(29)
-    return (key >> np.uint64(20)).astype(np.int64) % rows
+    key >>= np.uint64(20)
+    key &= np.uint64(rows - 1)  # tables have a power of two of rows
+    return key.view(np.int64)
 
 
 def contexts(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
