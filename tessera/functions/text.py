@@ -112,38 +112,38 @@ def required_text(value: object, name: str = "text", most: int = 4096) -> str:
 
 # --- cell addresses ----------------------------------------------------------------------
 
-_ADDRESS = r"^([A-Z]{1,3})([1-9][0-9]{0,6})$"
+_ADDRESS = r"^([A-Z]{1,3})([1-9][0-9]*)$"
 LAST_COLUMN, LAST_ROW = 16384, 1048576
 
 
-def address_row(address: Column | str) -> Column:
-    """Null if the address isn't one of a sheet."""
-    return _coordinates(address)[0]
+def address_row(address: Column | str, last_row: int | None = LAST_ROW) -> Column:
+    """Null if the address isn't one of a sheet, whose rows don't end if ``last_row`` is None."""
+    return _coordinates(address, last_row)[0]
 
 
-def address_column(address: Column | str) -> Column:
-    return _coordinates(address)[1]
+def address_column(address: Column | str, last_row: int | None = LAST_ROW) -> Column:
+    return _coordinates(address, last_row)[1]
 
 
-def _coordinates(address: Column | str) -> tuple[Column, Column]:
+def _coordinates(address: Column | str, last_row: int | None) -> tuple[Column, Column]:
     a = _c(address)
     letters = F.regexp_extract(a, _ADDRESS, 1)
-    row = F.regexp_extract(a, _ADDRESS, 2).cast("int")
+    row = F.regexp_extract(a, _ADDRESS, 2).try_cast("bigint")
     column = F.aggregate(F.split(letters, ""), F.lit(0), lambda acc, x: F.when(x == "", acc).otherwise(acc * 26 + F.ascii(x) - 64))
-    fine = a.rlike(_ADDRESS) & (column <= LAST_COLUMN) & (row <= LAST_ROW)
+    fine = a.rlike(_ADDRESS) & (column <= LAST_COLUMN) & (row.isNotNull() if last_row is None else row <= last_row)
     return F.when(fine, row), F.when(fine, column)
 
 
-def cell_address(row: Column | str, column: Column | str) -> Column:
+def cell_address(row: Column | str, column: Column | str, last_row: int | None = LAST_ROW) -> Column:
     """The inverse; null outside a sheet."""
-    r, c = _c(row).cast("int"), _c(column).cast("int")
+    r, c = _c(row).cast("bigint"), _c(column).cast("bigint")
     letter = lambda n: F.chr(n + 65)
     third = (c - 1) % 26
     rest = F.floor((c - 1) / 26)
     second = F.when(rest > 0, letter((rest - 1) % 26)).otherwise("")
     rest2 = F.floor((rest - 1) / 26)
     first = F.when(rest2 > 0, letter((rest2 - 1) % 26)).otherwise("")
-    fine = c.between(1, LAST_COLUMN) & r.between(1, LAST_ROW)
+    fine = c.between(1, LAST_COLUMN) & (r >= 1 if last_row is None else r.between(1, last_row))
     return F.when(fine, F.concat(first, second, letter(third), r.cast("string")))
 
 

@@ -29,6 +29,18 @@ def test_addresses_round_trip(spark):
     assert all(r[0] is None and r[1] is None for r in bad.select(t.address_row("a"), t.address_column("a")).collect())
 
 
+def test_rows_without_end(spark):
+    pairs = [(1, 1), (1048577, 26), (9999999, 703), (2147483648, 16384), (2**63 - 1, 27)]
+    df = spark.createDataFrame(pairs, "r bigint, c int").withColumn("a", t.cell_address("r", "c", last_row=None))
+    got = df.select("r", "c", t.address_row("a", last_row=None), t.address_column("a", last_row=None), t.cell_address("r", "c"), t.address_row("a")).collect()
+    assert all(tuple(r)[:2] == tuple(r)[2:4] for r in got)
+    assert [tuple(r)[4:] for r in got] == [("A1", 1)] + [(None, None)] * 4  # a sheet still ends
+    bad = spark.createDataFrame([("XFE1",), ("A0",), ("a1",), ("A9223372036854775808",), ("",), ("AAAA1",)], "a string")
+    assert all(r[0] is None and r[1] is None for r in bad.select(t.address_row("a", last_row=None), t.address_column("a", last_row=None)).collect())
+    out = spark.createDataFrame([(0, 1), (1, 0), (1, 16385), (-5, 1)], "r bigint, c int")
+    assert all(r[0] is None for r in out.select(t.cell_address("r", "c", last_row=None)).collect())
+
+
 def test_excel_dates(spark):
     cases = [
         ("1", "yyyy-mm-dd", "1900", "1900-01-01"), ("59", "yyyy-mm-dd", "1900", "1900-02-28"), ("60", "yyyy-mm-dd", "1900", t.ONLY_IN_EXCEL), ("61", "yyyy-mm-dd", "1900", "1900-03-01"),
