@@ -28,10 +28,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text is replaced by a mark, and ``n_chars`` follows; all documents stay."""
-    spans = free_name(docs, "secrets")
-    clean = secret_scan.redact(secret_scan.scan_secrets(docs, into=spans), spans=spans)
-    changed = F.size(spans) > 0
-    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = free_name(docs, "secrets")
+    clean = secret_scan.redact_secrets(docs, into=found)
+    return clean.withColumn("n_chars", F.when(F.col(found), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -221,6 +221,13 @@ _SCHEMA = {
 }
 
 
+def _least(docs: DataFrame, text: str, rate: float) -> dict[int, int]:
+    """The thresholds of all of ``docs``."""
+    tests = docs.select(F.explode(text_udf(_scan, _SCHEMA)(F.col(f"`{text}`"))["found"]).alias("t"))
+    counts = {(r[0], r[1]): r[2] for r in tests.groupBy("t.group", "t.step").count().collect()}
+    return thresholds(counts, rate)
+
+
 def scan_secrets(docs: DataFrame, *, text: str = "text", rate: float = 0.01, into: str = "secrets") -> DataFrame:
     """``docs`` with ``into``: array<struct<kind, start, end>>, by start and then in the order of ``KINDS``.
 
@@ -232,9 +239,7 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", rate: float = 0.01, int
     for the table of p-values (at most 60 x 201 counts) and once for the spans.
     """
     scan = text_udf(_scan, _SCHEMA)
-    tests = docs.select(F.explode(scan(F.col(f"`{text}`"))["found"]).alias("t"))
-    counts = {(r[0], r[1]): r[2] for r in tests.groupBy("t.group", "t.step").count().collect()}
-    least = thresholds(counts, rate)
+    least = _least(docs, text, rate)
     tmp = free_name(docs, "scan")
     passes = lambda c: F.lit(False)
     if least:
@@ -269,3 +274,26 @@ def redact(docs: DataFrame, *, text: str = "text", spans: str = "secrets") -> Da
     """
     small_batches(docs.sparkSession)
     return docs.withColumn(text, F.arrow_udf(_redact, "string")(F.col(f"`{text}`"), F.col(f"`{spans}`")))
+
+
+def redact_secrets(docs: DataFrame, *, text: str = "text", rate: float = 0.01, into: str = "redacted") -> DataFrame:
+    """What ``redact`` makes of ``scan_secrets``, and ``into``: whether the text had a secret.
+
+    A text is scanned and redacted in one go: two Python workers in a row would
+    be two processes a task, which Spark keeps for all that follows.
+    """
+    least = _least(docs, text, rate)
+
+    def clean(texts: pa.Array) -> dict[str, pa.Array]:
+        out, changed = [], []
+        for t in texts.to_pylist():
+            base = base_spans(t or "")
+            more = [(s, e) for s, e, c, g in candidates(t or "", base) if c in least and g >= least[c]]
+            spans = sorted([(s, e) for s, e, _ in base] + more)
+            out.append(hide(t, [{"start": s, "end": e} for s, e in spans]) if spans else t)
+            changed.append(bool(spans))
+        return {"text": pa.array(out, pa.string()), "changed": pa.array(changed, pa.bool_())}
+
+    tmp = free_name(docs, f"{into}_made")
+    made = docs.withColumn(tmp, text_udf(clean, {"text": "string", "changed": "boolean"})(F.col(f"`{text}`")))
+    return made.withColumn(text, F.col(tmp)["text"]).withColumn(into, F.col(tmp)["changed"]).drop(tmp)

@@ -97,6 +97,16 @@ def test_stage_edges(spark, odd, empty, tmp_path):
         assert stage(spark, empty, folder).count() == 0, name
 
 
+def test_a_task_holds_one_python_worker(spark, tmp_path):
+    """Two Python steps in a row are two workers a task, and Spark keeps them for the stages that follow."""
+    folder = str(tmp_path / "in")
+    make(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"ArrowEvalPython|MapInArrow|BatchEvalPython", plan)) <= 1, name
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 

@@ -68,6 +68,21 @@ def test_redaction(spark):
     assert [r.text for r in out] == ["é <secret> end", "clean", None, "<secret>"]
 
 
+def test_redaction_in_one_go(spark, odd, empty):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    hexes = "deadbeef" * 4
+    texts = [f"see {key(48)} here", f"token={key(44)} and {key(44)}", f"{hexes} token = {hexes}{key(40)}", f"é api_key: {hexes}", f"{key(20)}/{key(30)}" * 3, "clean", "", None]
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts * 3)], "doc_id long, text string, redacted string")
+    scanned = secret_scan.scan_secrets(docs)
+    hits = {r.doc_id: len(r.secrets) > 0 for r in scanned.collect()}
+    told = {r.doc_id: r.text for r in secret_scan.redact(scanned).collect()}
+    got = secret_scan.redact_secrets(docs)
+    assert got.columns == docs.columns and {r.doc_id: r.redacted for r in got.collect()} == hits
+    assert {r.doc_id: r.text for r in got.collect()} == told and sum(hits.values()) > 9 and None in told.values() and "" in told.values()
+    assert all(not r.found for r in secret_scan.redact_secrets(odd("found"), into="found").collect()) and secret_scan.redact_secrets(empty).count() == 0
+
+
 def test_secret_edges(odd, empty):
     rows = secret_scan.scan_secrets(odd("spans")).collect()
     assert len(rows) == 10 and all(r.secrets == [] for r in rows) and all("spans" in r.asDict() for r in rows)
